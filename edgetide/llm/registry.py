@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgetide.llm import gif, packing, pii, quality_classifier, quality_rules, toxicity, wordbpe
+from edgetide.llm import gif, packing, pii, quality_classifier, quality_rules, simhash, toxicity, wordbpe
 from edgetide.session import table
 
 
@@ -21,6 +21,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digest(table(spark, sf_dir, "documents"), wordbpe.vocabulary_path())
 
@@ -39,5 +43,5 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op6_bpe, op7_quality_classifier, op9_toxicity, op10_gif)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op5_simhash, op6_bpe, op7_quality_classifier, op9_toxicity, op10_gif)}
 ORACLE_SQL: dict[str, str] = {}
