@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgetide.llm import gif, packing, pii, quality_classifier, quality_rules, simhash, toxicity, wordbpe
+from edgetide.llm import gif, packing, pii, quality_classifier, quality_rules, secrets, simhash, toxicity, wordbpe
 from edgetide.session import table
 
 
@@ -34,6 +34,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(docs, secrets.fit(docs))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -43,5 +48,5 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op5_simhash, op6_bpe, op7_quality_classifier, op9_toxicity, op10_gif)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op5_simhash, op6_bpe, op7_quality_classifier, op8_secrets, op9_toxicity, op10_gif)}
 ORACLE_SQL: dict[str, str] = {}
