@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgetide.llm import gif, packing, pii, quality_classifier, quality_rules, secrets, simhash, toxicity, wordbpe
+from edgetide.llm import gif, licenses, packing, pii, quality_classifier, quality_rules, secrets, simhash, toxicity, wordbpe
 from edgetide.session import table
 
 
@@ -12,6 +12,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.ranks(docs))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), wordbpe.vocabulary_path())
 
@@ -48,5 +53,5 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op5_simhash, op6_bpe, op7_quality_classifier, op8_secrets, op9_toxicity, op10_gif)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_packing, op4_quality_rules, op5_simhash, op6_bpe, op7_quality_classifier, op8_secrets, op9_toxicity, op10_gif)}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle_sql()}
