@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from edgetide.llm.arrow import id_and_text, texts
-from edgetide.llm.wordbpe import MEMO_PIECES, PIECES, PLAIN
+from edgetide.llm.wordbpe import MEMO_PIECES, PIECES, is_plain
 from edgetide.session import bound_arrow, ship
 
 Piece = tuple[int, int, bytes, int]  # row of the document, start, ids, its document's tokens
 
 
+def gaps(values: list) -> Iterator[int]:
+    """Where a list has None."""
+    at = -1
+    try:
+        while True:
+            yield (at := values.index(None, at + 1))
+    except ValueError:
+        return
+
+
 class LibraryIds:
     """Ids by the tokenizers library as little-endian unsigned 32-bit integers; plain pieces are looked up once."""
 
@@ -53,21 +64,29 @@ class LibraryIds:
 
     def encode_all(self, batch: list[str]) -> Iterator[bytes]:
         """The ids of each text; the batch's unknown pieces go to the library in one call."""
-        split = [PIECES.findall(t.lower()) if "<|" not in t and PLAIN.match(t) else None for t in batch]
+        split = [PIECES.findall(t.lower()) if is_plain(t) and "<|" not in t else None for t in batch]
         known = self.pieces
-        new = {p for ps in split if ps for p in ps if p not in known}
-        if len(known) + len(new) > MEMO_PIECES:
+        if len(known) > MEMO_PIECES:
             known.clear()
-            new = {p for ps in split if ps for p in ps}
+        found = [None if ps is None else list(map(known.get, ps)) for ps in split]
+        holes = [(k, j) for k, ids in enumerate(found) if ids for j in gaps(ids)]
+        new = list({split[k][j] for k, j in holes})
         if new:
-            pieces = list(new)
-            e = self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0]  # a piece is one word there
+            e = self.tokenizer.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0]  # a piece is one word there
             ids = np.array(e.ids, dtype="<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             ids = ids.tobytes()
-            known.update((p, ids[a:b]) for p, a, b in zip(pieces, cuts[:-1], cuts[1:], strict=True))
-        for text, ps in zip(batch, split, strict=True):
-            yield self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if ps is None else b"".join([known[p] for p in ps])
+            known.update((p, ids[a:b]) for p, a, b in zip(new, cuts[:-1], cuts[1:], strict=True))
+            for k, j in holes:
+                found[k][j] = known[split[k][j]]
+        for text, ids in zip(batch, found, strict=True):
+            yield self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if ids is None else b"".join(ids)
+
+
+@lru_cache(maxsize=2)
+def library_ids(path: str) -> LibraryIds:
+    """The library's ids of a path, with the pieces known so far, once per worker."""
+    return LibraryIds(path)
 
 
 class LevelPacker:
@@ -149,7 +168,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, closing_id: int = 1, max_
     schema = pa.schema([("doc_id", pa.int64()), *COLUMNS, *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, close = LibraryIds(path), LevelPacker(size, max_open), np.array([closing_id], dtype="<u4").tobytes()
+        tokens, packer, close = library_ids(path), LevelPacker(size, max_open), np.array([closing_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 36
         names: dict[int, int | None] = {}
         row = 0
