@@ -1,6 +1,9 @@
-"""Named queries over the driver tables and their SQL for comparison."""
+"""Named queries over the driver tables, and their SQL for comparison."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from edgetide.plans import queries_log
+
+_MODULES = (queries_log,)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

@@ -73,7 +73,7 @@ def wiki_links(text: Column) -> Column:
 
 
 def split_semicolon(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6_378_100.0) -> Column:

@@ -299,3 +299,34 @@ def degree_series(steps: DataFrame, nodes: list[int], print_freq: int) -> DataFr
     change = ends.groupBy(batch("step", print_freq).alias("k")).pivot("w", nodes).count()
     change = change.select("k", *(F.col(str(v)).alias(f"n{v}") for v in nodes))
     return running(reports(steps, print_freq).join(change, "k", "left").fillna(0), tuple(f"n{v}" for v in nodes)).select(F.col("endp").alias("timestep"), *(f"n{v}" for v in nodes))
+
+
+def alive_windows_updates(steps: DataFrame, windows: list[int], print_freq: int) -> DataFrame:
+    """As alive_windows, for a log with deletions: a pair counts its insertions, less its deletions and those past their window.
+
+    Both take one off, but never below nothing. A count that stops at nothing is
+    the running sum less the lowest sum so far where that is negative, so
+    windows suffice and no rows are replayed.
+    """
+    n = total_steps(steps)
+    m = (n - 1) // print_freq if n else 0
+    every = steps.where(((F.col("step") - 1) % print_freq == 0) & (F.col("step") > 1)).select(((F.col("step") - 1) / print_freq).cast("long").alias("k"), "ts", (F.col("step") - 1).alias("label"))
+    points = checkpoint(every.unionAll(steps.where(F.col("step") == n).select(F.lit(m + 1).cast("long").alias("k"), "ts", F.lit(n).cast("long").alias("label"))))
+    first_row = checkpoint(steps.groupBy("ts").agg(F.min("step").alias("k")))  # the row whose coming ends what is due by its time
+    each = steps.select("src", "dst", "step", "ts", "op", F.explode(F.array(*map(F.lit, windows))).alias("w"))
+    moves = each.select("src", "dst", "w", "step", F.lit(0).alias("phase"), F.when(F.col("op") == 0, 1).otherwise(-1).alias("by"))
+    due = each.where("op = 0").withColumn("t", (F.col("ts") + F.col("w")).cast("long"))
+    when = next_report(due.select("t").distinct(), first_row, n + 1)
+    # An insertion that comes after later rows of the same time were due at once still goes in its own row.
+    ends = due.join(when, "t").select("src", "dst", "w", F.greatest("k", "step").alias("step"), F.lit(1).alias("phase"), F.lit(-1).alias("by")).where(F.col("step") <= n)
+    w = W.partitionBy("src", "dst", "w").orderBy("step", "phase")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    summed = moves.unionAll(ends).withColumn("sum", F.sum("by").over(upto))
+    counted = summed.withColumns({"x": F.col("sum") - F.least(F.lit(0), F.min("sum").over(upto)), "nx": F.lead("step").over(w)})
+    sees = lambda c: F.when(F.col(c).isNull(), F.lit(m + 2)).when(F.col(c) - 1 <= m * print_freq, F.greatest(F.expr(f"({c} - 1 + {print_freq - 1}) div {print_freq}"), F.lit(1))).otherwise(F.lit(m + 1)).cast("long")
+    spans = counted.where("x > 0").select("w", sees("step").alias("k0"), sees("nx").alias("k1")).where("k0 < k1")
+    change = spans.select("w", F.explode(F.array(F.struct(F.col("k0").alias("k"), F.lit(1).alias("by")), F.struct(F.col("k1").alias("k"), F.lit(-1).alias("by")))).alias("c")).groupBy("c.k").pivot("w", windows).agg(F.sum("c.by"))
+    change = change.select("k", *(F.col(str(x)).alias(f"w{x}") for x in windows))
+    fresh = steps.where("op = 0").groupBy("src", "dst").agg(F.min("step").alias("step")).groupBy(sees("step").alias("k")).agg(F.count("*").alias("total"))
+    out = points.join(change, "k", "left").join(fresh, "k", "left").fillna(0)
+    return running(out, (*(f"w{x}" for x in windows), "total")).select(F.col("label").alias("timestep"), F.col("ts").alias("timestamp"), *(f"w{x}" for x in windows), "total")

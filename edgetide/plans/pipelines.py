@@ -141,7 +141,7 @@ def taxi(spark, source: str, target: str) -> None:  # noqa: ANN001
 
 def path_length(paths: DataFrame, nodes: DataFrame, key: str, radius: float = 6_378_100.0) -> DataFrame:
     """(key, length) of paths of node ids in column `nodes`; a path with an unknown node is left out."""
-    steps = paths.select(key, F.posexplode("nodes").alias("i", "id")).join(nodes.select("id", "lat", "lon"), "id", "left")
+    steps = paths.select(key, F.posexplode("nodes").alias("i", "node_id")).join(nodes.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id", "left")
     w = W.partitionBy(key).orderBy("i")
     pairs = steps.withColumns({"lat0": F.lag("lat").over(w), "lon0": F.lag("lon").over(w)})
     part = F.when(F.col("i") > 0, haversine(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"), radius)).otherwise(0.0)

@@ -26,14 +26,14 @@ def read_xml(spark: SparkSession, path: str | list[str], row_tag: str, schema: s
 def read_tagged_text(spark: SparkSession, path: str) -> DataFrame:
     """Blocks that start at #index: (no, index, title, year, authors, refs), numbered in their order; the last block counts too."""
     blocks = spark.read.option("lineSep", "#index").text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
-    lines = F.transform(F.split("value", "\n"), F.trim)
+    lines = F.transform(F.split("value", "\n"), lambda x: F.trim(x))
     tagged = lambda tag: F.transform(F.filter("lines", lambda x: x.startswith(tag)), lambda x: F.trim(F.substr(x, F.lit(len(tag) + 1))))
     parsed = blocks.withColumn("lines", lines).select(
         "at",
         F.get("lines", F.lit(0)).alias("index"),
         F.get(tagged("#*"), F.lit(0)).alias("title"),
         F.get(tagged("#t"), F.lit(0)).alias("year"),
-        F.flatten(F.transform(tagged("#@"), lambda x: F.transform(F.split(x, ";"), F.trim))).alias("authors"),
+        F.flatten(F.transform(tagged("#@"), lambda x: F.transform(F.split(x, ";"), lambda y: F.trim(y)))).alias("authors"),
         tagged("#%").alias("refs"),
     )
     return assign_step(parsed, ("at",), "no").drop("at")
