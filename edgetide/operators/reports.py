@@ -111,8 +111,8 @@ def append_bfs(arrivals: DataFrame, src: int, max_rounds: int = 10_000) -> DataF
 
 
 def bfs_max_distance(bfs: DataFrame, points: DataFrame, print_freq: int, n_points: int) -> DataFrame:
-    """The largest distance from the source at each report: v is at h hops from its b to the b of its next h."""
-    w = W.partitionBy("v").orderBy("h")
+    """The largest distance from the source at each report: v is at h hops from its b to the b of its next lesser h."""
+    w = W.partitionBy("v").orderBy(F.desc("h"))  # fewer hops come later
     held = bfs.withColumn("e", F.lead("b").over(w)).select(F.expr(f"(b + {print_freq - 1}) div {print_freq}").alias("k0"), F.coalesce(F.expr(f"(e + {print_freq - 1}) div {print_freq}"), F.lit(n_points + 1)).alias("k1"), F.col("h").cast("long").alias("h"))
     top = interval_max(held.where("k0 < k1"), points, "h", max(1, (n_points + 1).bit_length()))
     return points.join(top, "k", "left").select("k", F.col("endp").alias("timestep"), F.coalesce("h", F.lit(0)).alias("max_distance_from_src"))

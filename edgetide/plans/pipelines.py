@@ -61,8 +61,8 @@ def dblp(articles: DataFrame) -> dict[str, DataFrame]:
 
 def oag(papers: DataFrame) -> dict[str, DataFrame]:
     """Coauthor, reference, publication, venue and organisation logs of papers with an id and a year, and counts."""
-    given = lambda c: c.isNotNull() & (c.cast("string") != "") & (c.cast("string") != "0")
-    kept = papers.where(given(F.col("id")) & given(F.col("year"))).withColumn("known", F.filter(F.coalesce("authors", F.array().cast("array<struct<id:string,org_id:string>>")), lambda a: given(a["id"])))
+    given = lambda c: c.isNotNull() & (c != "")
+    kept = papers.where(given(F.col("id")) & F.col("year").isNotNull() & (F.col("year") != 0)).withColumn("known", F.filter(F.coalesce("authors", F.array().cast("array<struct<id:string,org_id:string>>")), lambda a: given(a["id"])))
     edge = lambda a, b: (F.col(a).alias("src"), F.col(b).alias("dst"), F.col("year").alias("ts"))
     each = kept.select("id", "year", F.explode("known").alias("a"))
     return {

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from edgetide.operators.steps import assign_step
+from edgetide.plans.running import running
+from edgetide.sources.text import LINE_ORDER, ordered_lines
 
 PAPER = "id string, year long, venue_id string, authors array<struct<id:string,org_id:string>>, references array<string>"
 COMMENT = "author string, subreddit string, created_utc long"
@@ -25,29 +26,25 @@ def read_xml(spark: SparkSession, path: str | list[str], row_tag: str, schema: s
 
 def read_tagged_text(spark: SparkSession, path: str) -> DataFrame:
     """Blocks that start at #index: (no, index, title, year, authors, refs), numbered in their order; the last block counts too."""
-    blocks = spark.read.option("lineSep", "#index").text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    blocks = ordered_lines(spark, path, "#index").where(F.trim(F.translate("value", "\n\r", "")) != "")
     lines = F.transform(F.split("value", "\n"), lambda x: F.trim(x))
     tagged = lambda tag: F.transform(F.filter("lines", lambda x: x.startswith(tag)), lambda x: F.trim(F.substr(x, F.lit(len(tag) + 1))))
     parsed = blocks.withColumn("lines", lines).select(
-        "at",
+        *LINE_ORDER,
         F.get("lines", F.lit(0)).alias("index"),
         F.get(tagged("#*"), F.lit(0)).alias("title"),
         F.get(tagged("#t"), F.lit(0)).alias("year"),
         F.flatten(F.transform(tagged("#@"), lambda x: F.transform(F.split(x, ";"), lambda y: F.trim(y)))).alias("authors"),
         tagged("#%").alias("refs"),
     )
-    return assign_step(parsed, ("at",), "no").drop("at")
+    return assign_step(parsed, LINE_ORDER, "no").drop(*LINE_ORDER)
 
 
 def read_gitlog(spark: SparkSession, path: str) -> DataFrame:
     """(commit, author, date, files) of `hash|author|date` lines, each followed by file names; a file belongs to the commit line before it."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    lines = lines.withColumns({"head": F.col("value").contains("|"), "part": F.shiftright("at", 33)})
-    # Commits are counted within partitions, and the partitions' counts are added: no task sees all lines.
-    inside = F.sum(F.col("head").cast("int")).over(W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
-    counts = lines.groupBy("part").agg(F.sum(F.col("head").cast("int")).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    numbered = lines.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("commit", F.col("inside") + F.col("before"))  # a row a partition
+    lines = assign_step(ordered_lines(spark, path), LINE_ORDER, "at").withColumn("head", F.col("value").contains("|"))
+    # The running count of commit lines goes by blocks of lines: no task sees all of them.
+    numbered = running(lines.select("at", "value", "head", F.col("head").cast("int").alias("commit")), ("commit",), key="at")
     fields = F.split("value", r"\|", 3)
     heads = numbered.where("head").select("commit", fields[0].alias("hash"), fields[1].alias("author"), fields[2].alias("date"))
     files = numbered.where("not head and trim(value) <> ''").groupBy("commit").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.trim("value").alias("f")))), lambda x: x["f"]).alias("files"))

@@ -9,6 +9,16 @@ from edgetide.operators.dictionary import encode
 from edgetide.sources.packed import read_bin, read_legacy
 
 
+#: The order of lines: files by name, and within a file as they stand, however it was split.
+LINE_ORDER = ("file", "block", "at")
+
+
+def ordered_lines(spark: SparkSession, path: str | list[str], line_sep: str | None = None) -> DataFrame:
+    """Lines (value) with LINE_ORDER; a task reads a block of a file in its order."""
+    reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
 def _tokens(spark: SparkSession, path: str | list[str], comment: str | None = None) -> DataFrame:
     lines = spark.read.text(path).withColumn("line", F.trim(F.regexp_replace("value", r"[\t\r]", " "))).where("line <> ''")
     if comment:
@@ -61,8 +71,8 @@ def read_adj(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
     """
     from edgetide.operators.steps import assign_step
 
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
-    numbered = assign_step(lines, ("at",), "no").select((F.col("no") - 1).alias("no"), F.trim("value").alias("value"))
+    lines = ordered_lines(spark, path).where(F.trim("value") != "")
+    numbered = assign_step(lines, LINE_ORDER, "no").select((F.col("no") - 1).alias("no"), F.trim("value").alias("value"))
     head = {r.no: r.value for r in numbered.where("no < 3").collect()}
     if head.get(0) != "AdjacencyGraph":
         raise ValueError("not an adjacency list")
