@@ -61,12 +61,12 @@ def random_strings(docs: DataFrame, n: int) -> DataFrame:
 
 
 def identifiers(docs: DataFrame, bound: int) -> DataFrame:
-    """The labelled sample of identifiers: words of at most `bound` documents, those of least hashed id, alone, joined and numbered."""
+    """The labelled sample of identifiers: words of at most `bound` documents, those of least hashed id, alone, joined, numbered and in capitals."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     words = text.select(F.expr("regexp_extract_all(text, '[A-Za-z]{2,}', 0)").alias("w")).where("size(w) >= 2")
     pair = "zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> {})"
-    joined = [pair.format(x) for x in ("concat(a, '_', b)", "concat(a, initcap(b))", "concat(a, '/', b)", "concat(a, '-', cast(length(b) as string))")]
+    joined = [pair.format(x) for x in ("concat(a, '_', b)", "concat(a, initcap(b))", "concat(a, '/', b)", "concat(a, '-', cast(length(b) as string))", "concat(upper(a), '_', upper(b))")]
     return words.select(F.explode(F.expr(f"concat(w, {', '.join(joined)})")).alias("word"))
 
 
@@ -105,7 +105,7 @@ def matches(docs: DataFrame) -> DataFrame:
     return df.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, F.split(text, PATTERNS[k], -1)).otherwise(none) for k in KINDS} | {"g_assign": F.when(F.size("m_assign") > 0, F.regexp_extract_all(text, F.lit(PATTERNS["assign"]), F.lit(1))).otherwise(none)})
 
 
-def spans(docs: DataFrame, table: np.ndarray, margin: float = 0.5) -> DataFrame:
+def spans(docs: DataFrame, table: np.ndarray, margin: float = 1.0) -> DataFrame:
     """`docs`, its text in column `text`, with `base` and `found` spans, by start, then kind as listed."""
     empty = F.lit(None).cast(SPAN)
     df = matches(docs)
@@ -120,7 +120,7 @@ def spans(docs: DataFrame, table: np.ndarray, margin: float = 0.5) -> DataFrame:
     return df.withColumn("found", F.array_sort(F.concat("base", "s_markov"))).drop(*(f"{p}_{k}" for p in "mps" for k in KINDS), "g_assign")
 
 
-def scan(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text", margin: float = 1.0) -> DataFrame:
     """doc_id and its spans: arrays of (start, rank, end), rank being the kind's place in KINDS."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     return spans(rows, table, margin).select("doc_id", "base", "found")

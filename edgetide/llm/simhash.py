@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -183,19 +184,23 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return posted.select("c", "fp").mapInArrow(run, "u long, v long").distinct()
 
 
-def components(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """(fp, root, component_id): each distinct fingerprint with the least id that its links reach. `prints` is (doc_id, fp), read twice."""
+def rooted(prints: DataFrame, distance: int = 3) -> DataFrame:
+    """(fp, least, root): each distinct fingerprint, its least id, and the least fingerprint that its links reach; checkpointed."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = checkpoint(rooted)
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return checkpoint(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
+def components(prints: DataFrame, distance: int = 3) -> DataFrame:
+    """(fp, component_id): each distinct fingerprint with the least id that its links reach. `prints` is (doc_id, fp), read once."""
+    known = rooted(prints, distance)
+    return known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint in hexadecimal digits, and component_id of every document."""
     prints = checkpoint(fingerprints(docs, id_col, text_col))
-    known = components(prints).drop("root")
+    known = components(prints)
     return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -206,25 +211,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fingerprint; where that agrees too, the least row stays.
     """
     prints = checkpoint(fingerprints(docs))
-    chosen = prints.join(components(prints), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("one"))
-    chosen = chosen.select(F.col("one.doc_id").alias("chosen_id"), F.col("one.fp").alias("chosen_fp"))
-    twice = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
-    kept = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("chosen_id")), "left_semi")
+    # A row a fingerprint is enough to choose from, and it is aggregated before the shuffle.
+    chosen = rooted(prints).groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("one"))
+    chosen = checkpoint(chosen.select(F.col("one.least").alias("chosen_id"), F.col("one.fp").alias("chosen_fp")))
+    twice = prints.groupBy(F.col("doc_id").alias("twice_id")).agg(F.count("*").alias("n")).where("n > 1 or twice_id is null").select("twice_id")
+    names = [f"edgetide_{i}" for i in range(len(docs.columns))]  # columns of documents may bear any name
+    rows = docs.toDF(*names)
+    own = F.col(names[docs.columns.index("doc_id")]).cast("long")
+    kept = rows.join(chosen, own.eqNullSafe(F.col("chosen_id")), "left_semi")
     if not twice.limit(1).count():
-        return kept
-    single = kept.join(twice.withColumnRenamed("doc_id", "twice_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("twice_id")), "left_anti")
-    several = docs.join(twice.withColumnRenamed("doc_id", "twice_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("twice_id")), "left_semi")
-    marked = several.withColumn("simhash_of_row", _fingerprint_column(several))
-    marked = marked.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("chosen_id")) & (F.col("simhash_of_row") == F.col("chosen_fp")), "left_semi")
-    least = marked.groupBy("doc_id", "simhash_of_row").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return single.unionByName(least)
-
+        return kept.toDF(*docs.columns)
+    single = kept.join(twice, own.eqNullSafe(F.col("twice_id")), "left_anti")
+    several = rows.join(twice, own.eqNullSafe(F.col("twice_id")), "left_semi")
+    marked = several.withColumn("fp", _fingerprint_column(names[docs.columns.index("text")]))
+    marked = marked.join(chosen, own.eqNullSafe(F.col("chosen_id")) & (F.col("fp") == F.col("chosen_fp")), "left_semi")
+    least = marked.groupBy(own.alias("id"), "fp").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return single.unionByName(least).toDF(*docs.columns)
 
-def _fingerprint_column(docs: DataFrame):  # noqa: ANN202
-    import pandas as pd
 
+def _fingerprint_column(text: str):  # noqa: ANN202
     @F.pandas_udf("long")
-    def of(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: fingerprint(t or "")).astype("int64")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t or "")).astype("int64")
 
-    return of(F.col("text"))
+    return of(F.col(text))
