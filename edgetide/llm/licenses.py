@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Fixed notices, as their publishers word them, and their labels.
 TEMPLATES = {
-    "agpl": "licensed under the gnu affero general public license version 3",
+    "agpl": "gnu affero general public license",
     "apache-2.0": "licensed under the apache license version 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under cc by sa 4 0",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "lgpl": "licensed under the gnu lesser general public license",
+    "lgpl": "gnu lesser general public license",
     "mit": "released under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license",
