@@ -15,14 +15,14 @@ def running(reports: DataFrame, sums: tuple[str, ...] = (), maxima: tuple[str, .
     Accumulation is within blocks of report numbers first; only one row a block
     meets in the window over blocks, so no task orders all reports.
     """
-    cut = reports.withColumn("_b", F.floor(F.col(key) / BLOCK))
-    inside = W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
-    totals = cut.groupBy("_b").agg(*(F.sum(c).alias(f"_{c}") for c in sums), *(F.max(c).alias(f"_{c}") for c in maxima))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select("_b", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums), *(F.max(f"_{c}").over(before).alias(f"_{c}") for c in maxima))
-    done = cut.join(carried, "_b")
-    done = done.withColumns({c: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{c}") for c in sums} | {c: F.greatest(F.max(c).over(inside), F.col(f"_{c}")) for c in maxima})
-    return done.drop("_b", *(f"_{c}" for c in (*sums, *maxima)))
+    cut = reports.withColumn("_block", F.floor(F.col(key) / BLOCK))
+    inside = W.partitionBy("_block").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+    totals = cut.groupBy("_block").agg(*(F.sum(c).alias(f"_of_{c}") for c in sums), *(F.max(c).alias(f"_of_{c}") for c in maxima))
+    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select("_block", *(F.coalesce(F.sum(f"_of_{c}").over(before), F.lit(0)).alias(f"_of_{c}") for c in sums), *(F.max(f"_of_{c}").over(before).alias(f"_of_{c}") for c in maxima))
+    done = cut.join(carried, "_block")
+    done = done.withColumns({c: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_of_{c}") for c in sums} | {c: F.greatest(F.max(c).over(inside), F.col(f"_of_{c}")) for c in maxima})
+    return done.drop("_block", *(f"_of_{c}" for c in (*sums, *maxima)))
 
 
 def interval_max(intervals: DataFrame, reports: DataFrame, value: str, levels: int = 40) -> DataFrame:
