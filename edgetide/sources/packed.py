@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from edgetide.model import CODES, HEADER_BYTES, TYPES, Header
 from edgetide.sources.paths import file_size, local, read_bytes, shared_path
@@ -80,29 +80,37 @@ class Part(WriterCommitMessage):
         self.at, self.path = at, path
 
 
-class PackedWriter(DataSourceWriter):
-    """Each task writes its rows as one file; the parts are joined in order once all are there. The folder must be a shared mount."""
+def packed_rows(batch: pa.RecordBatch, fields: list[tuple[str, str]]) -> np.ndarray:
+    """A batch as packed rows; a null or a value beyond its field's type is an error."""
+    out = np.empty(batch.num_rows, dtype=np.dtype(fields))
+    for name, kind in fields:
+        column = batch.column(batch.schema.get_field_index(name))
+        if column.null_count:
+            raise ValueError(f"{name} has nulls")
+        values = column.to_numpy(zero_copy_only=False)
+        if kind[1] != "f" and len(values) and (values.min() < np.iinfo(kind).min or values.max() > np.iinfo(kind).max):
+            raise ValueError(f"{name} exceeds the range of {kind[1:]}")
+        out[name] = values
+    return out
+
+
+class PackedWriter(DataSourceArrowWriter):
+    """Each task writes its Arrow batches as one file; the parts are joined in order once all are there. The folder must be a shared mount."""
 
     def __init__(self, schema, options: dict):  # noqa: ANN001
         self.options = options
         self.fields = [tuple(f.split(":")) for f in options["fields"].split(",")]
 
-    def write(self, rows) -> Part:  # noqa: ANN001
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         folder = local(self.options["path"]) + ".parts"
         os.makedirs(folder, exist_ok=True)
         path = f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}"
-        kind, names = np.dtype(self.fields), [n for n, _ in self.fields]
         with open(path, "wb") as f:
-            batch = []
-            for r in rows:
-                batch.append(tuple(r[n] for n in names))
-                if len(batch) == ROWS_A_BATCH:
-                    f.write(np.array(batch, dtype=kind).tobytes())
-                    batch = []
-            f.write(np.array(batch, dtype=kind).tobytes())
+            for batch in iterator:
+                f.write(packed_rows(batch, self.fields).tobytes())
         return Part(context.partitionId(), path)
 
     def commit(self, messages: list[Part]) -> None:

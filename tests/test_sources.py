@@ -42,6 +42,8 @@ def test_packed_layout_and_insert_code(spark, tmp_path):
     (tmp_path / "short").write_bytes(b"x" * 31)
     with pytest.raises(ValueError, match="32 bytes"):
         api.read_header(spark, str(tmp_path / "short"))
+    with pytest.raises(Exception, match="exceeds"):
+        packed.write_bin(spark.createDataFrame([(1, 300, 0)], "src long, dst long, ts long"), str(tmp_path / "big.bin"), vertex_id_type="uint8")
     (tmp_path / "odd").write_bytes(b"x" * 13)
     with pytest.raises(ValueError):
         packed.read_legacy(spark, str(tmp_path / "odd"), "legacy12")
