@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from edgetide.operators.components import connected_components
-from edgetide.operators.steps import rank_in_group
+from edgetide.operators.steps import rank_in_group, with_neighbours
 from edgetide.plans.running import interval_max, running
 from edgetide.session import checkpoint, ship
 
@@ -277,10 +277,9 @@ def alive_windows(steps: DataFrame, windows: list[int], print_freq: int) -> Data
     m = (n - 1) // print_freq if n else 0  # reports at rows print_freq, 2 * print_freq, ..., then the last row
     every = steps.where(((F.col("step") - 1) % print_freq == 0) & (F.col("step") > 1)).select(((F.col("step") - 1) / print_freq).cast("long").alias("k"), "ts", (F.col("step") - 1).alias("label"))
     points = checkpoint(every.unionAll(steps.where(F.col("step") == n).select(F.lit(m + 1).cast("long").alias("k"), "ts", F.lit(n).cast("long").alias("label"))))
-    w = W.partitionBy("src", "dst").orderBy("step")
     sees = lambda c: F.when(F.col(c).isNull(), F.lit(m + 2)).when(F.col(c) - 1 <= m * print_freq, F.greatest(F.expr(f"({c} - 1 + {print_freq - 1}) div {print_freq}"), F.lit(1))).otherwise(F.lit(m + 1)).cast("long")
-    events = steps.select("src", "dst", "step", "ts").withColumns({"nx": F.lead("step").over(w), "first": F.row_number().over(w) == 1})
-    events = checkpoint(events.select(sees("step").alias("k0"), sees("nx").alias("kn"), "ts", "first"))
+    events = with_neighbours(steps.select("src", "dst", "step", "ts"), ["src", "dst"], "step", before={"last": "step"}, after={"nx": "step"})
+    events = checkpoint(events.select(sees("step").alias("k0"), sees("nx").alias("kn"), "ts", F.col("last").isNull().alias("first")))
     lives = events.groupBy("k0", "kn", "ts").agg(F.count("*").alias("n")).where("k0 < kn").withColumn("w", F.explode(F.array(*map(F.lit, windows)))).withColumn("t", (F.col("ts") + F.col("w")).cast("long"))
     due = next_report(lives.select("t").distinct(), points, m + 2).withColumnRenamed("k", "kd")
     spans = lives.join(due, "t").select("w", "n", "k0", F.least("kn", "kd").alias("k1")).where("k0 < k1")

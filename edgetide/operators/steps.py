@@ -62,16 +62,35 @@ def arrivals(steps: DataFrame) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.min(F.struct("step", "src")).alias("m")).select("u", "v", "m.step", "m.src")
 
 
+def with_neighbours(df: DataFrame, keys: list[str], order: str, before: dict[str, str] | None = None, after: dict[str, str] | None = None, width: int = 1 << 20) -> DataFrame:
+    """`df` with values of the row before (name: column) and after it within its key, null at the ends.
+
+    Rows are windowed by key and block of `order`, a whole number that is
+    distinct within a key, so a hot key is many groups of at most `width` rows;
+    what lies across a block's edge comes from one row a key and block. Values
+    must not be null.
+    """
+    before, after = before or {}, after or {}
+    cut = df.withColumn("_block", F.expr(f"{order} div {width}"))
+    w = W.partitionBy(*keys, "_block").orderBy(order)
+    inner = cut.withColumns({f"_in_{n}": F.lag(c).over(w) for n, c in before.items()} | {f"_in_{n}": F.lead(c).over(w) for n, c in after.items()})
+    ends = cut.groupBy(*keys, "_block").agg(*(F.max_by(c, order).alias(f"_at_{n}") for n, c in before.items()), *(F.min_by(c, order).alias(f"_at_{n}") for n, c in after.items()))
+    over = W.partitionBy(*keys).orderBy("_block")
+    across = ends.select(*keys, "_block", *(F.lag(f"_at_{n}").over(over).alias(f"_out_{n}") for n in before), *(F.lead(f"_at_{n}").over(over).alias(f"_out_{n}") for n in after))
+    done = inner.join(across, [*keys, "_block"])
+    return done.select(*df.columns, *(F.coalesce(f"_in_{n}", f"_out_{n}").alias(n) for n in (*before, *after)))
+
+
 def collapse_ops(steps: DataFrame) -> DataFrame:
     """Updates whose op differs from the pair's op before; the state before the first one is deleted."""
-    w = W.partitionBy("u", "v").orderBy("step")
-    return canonicalize(drop_self_loops(steps)).withColumn("before", F.lag("op", 1, 1).over(w)).where("before <> op").drop("before")
+    pairs = with_neighbours(canonicalize(drop_self_loops(steps)), ["u", "v"], "step", before={"before": "op"})
+    return pairs.where("coalesce(before, 1) <> op").drop("before")
 
 
 def edge_intervals(steps: DataFrame) -> DataFrame:
     """(u, v, s0, e0): the half-open intervals of steps over which each pair is alive; e0 is null while it is."""
-    w = W.partitionBy("u", "v").orderBy("step")
-    return collapse_ops(steps).withColumn("e0", F.lead("step").over(w)).where("op = 0").select("u", "v", F.col("step").alias("s0"), "e0")
+    ops = with_neighbours(collapse_ops(steps).select("u", "v", "op", "step"), ["u", "v"], "step", after={"e0": "step"})
+    return ops.where("op = 0").select("u", "v", F.col("step").alias("s0"), "e0")
 
 
 def signal_to_windowed(log: DataFrame, window: int, canonicalize_before_window: bool = False) -> DataFrame:
@@ -81,8 +100,7 @@ def signal_to_windowed(log: DataFrame, window: int, canonicalize_before_window:
     deletion comes only where the life ends before the log does.
     """
     pairs = log.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "ts") if canonicalize_before_window else log.select("src", "dst", "ts")
-    w = W.partitionBy("src", "dst").orderBy("ts")
-    seen = pairs.distinct().withColumns({"p": F.lag("ts").over(w), "nx": F.lead("ts").over(w)})
+    seen = with_neighbours(pairs.distinct(), ["src", "dst"], "ts", before={"p": "ts"}, after={"nx": "ts"})
     last = log.agg(F.max("ts").alias("last"))
     events = seen.crossJoin(F.broadcast(last))  # one row
     on = F.when(F.col("p").isNull() | (F.col("p") + window < F.col("ts")), F.struct(F.lit(0).alias("op"), F.col("ts").alias("at")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import sys
 
 import duckdb
 import pytest
@@ -48,3 +49,12 @@ def test_entry(spark):
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     if os.path.isdir(SF):
         assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_the_training_data_operators(monkeypatch):
+    for missing in ("corpus_pipeline", "edgetide.llm"):
+        with monkeypatch.context() as m:
+            for name in [k for k in sys.modules if k == "corpus_pipeline" or k.startswith("edgetide.llm")]:
+                m.delitem(sys.modules, name)
+            m.setitem(sys.modules, missing, None)
+            assert set(entry.queries()) == set(catalog.QUERIES) and entry.oracle_sql() == catalog.ORACLE_SQL

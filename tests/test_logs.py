@@ -255,3 +255,16 @@ def test_sweep_and_snapshots(spark):
 def test_max_updates_takes_rows_as_stored(spark):
     rows = api.analyze(spark, signal(spark, F1[::-1]).coalesce(1), print_freq=10, max_updates=2, metrics=()).dynamic.collect()
     assert (rows[0].timestep, rows[0].num_edges) == (2, 2)
+
+
+def test_neighbours_of_a_hot_key(spark):
+    df = spark.range(4000).selectExpr("id * 3 as s", "if(id % 3 = 0, 1, id % 40) as w")
+    got = sorted(map(tuple, ST.with_neighbours(df, ["w"], "s", {"p": "s"}, {"n": "s"}, width=100).collect()))
+    rows = sorted((r.s, r.w) for r in df.collect())
+    last, want = {}, {}
+    for s, w in rows:
+        want[s] = [w, last.get(w), None]
+        if w in last:
+            want[last[w]][2] = s
+        last[w] = s
+    assert got == [(s, *want[s]) for s, _ in rows]
