@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -134,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 4000, most_stems: int =
     ship(spark)
     bound_arrow(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = checkpoint(rows.join(F.broadcast(learnable(labels, bound)), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label"))
+    sample = checkpoint(rows.join(F.broadcast(learnable(labels, bound)), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"))
     counts = dict(sample.groupBy("label").count().collect())
     n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
     if n_pos < 5 or n_neg < 5:
@@ -142,12 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 4000, most_stems: int =
 
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: Counter = Counter()
-            for text, y in zip(texts(batch), batch.column(2).to_pylist(), strict=True):
-                found, key = stems(text)
-                out.update((key, y, s) for s in found)
-            keys = list(out)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string())], names=["k", "y", "s"])
+            for at in range(0, batch.num_rows, 64):  # a text has thousands of beginnings
+                part, out = batch.slice(at, 64), set()
+                for text, y in zip(texts(part), part.column(2).to_pylist(), strict=True):
+                    found, key = stems(text)
+                    out.update((key, y, s) for s in found)
+                k, y, s = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(y, pa.int32()), pa.array(s, pa.string())], names=["k", "y", "s"])
 
     pairs = sample.mapInArrow(beginnings, "k long, y int, s string").groupBy("s", "y", "k").agg(F.lit(1).alias("one"))
     total = pairs.groupBy("s").agg(F.sum(F.col("y")).alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
