@@ -49,10 +49,9 @@ def coreness(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         values = both.join(now.select(F.col("a").alias("b"), "h"), "b").groupBy("a", "h").agg(F.count("*").alias("n"))
         above = values.withColumn("at_least", F.sum("n").over(W.partitionBy("a").orderBy(F.desc("h")).rowsBetween(W.unboundedPreceding, 0)))
         index = above.groupBy("a").agg(F.max(F.least("at_least", "h")).alias("h"))
-        new = checkpoint(index)
-        changed = new.join(now.withColumnRenamed("h", "old"), "a").where("h <> old").limit(1).count()
-        now = new
-        if not changed:
+        new = checkpoint(index.join(now.withColumnRenamed("h", "old"), "a"))
+        now = new.select("a", "h")
+        if new.where("h <> old").isEmpty():
             break
     return now.select(F.col("a").alias("v"), F.col("h").alias("core"))
 

@@ -263,8 +263,8 @@ def static_kcore(spark: Sp, d: str) -> Df:
 
 @query()
 def static_schedule(spark: Sp, d: str) -> Df:
-    """All snapshot metrics at four points of the hop graph."""
-    return api.analyze(spark, g_hop(spark, d), print_freq=PF, static_algorithm_count=4, metrics=()).static
+    """All snapshot metrics at two points of the hop graph."""
+    return api.analyze(spark, g_hop(spark, d), print_freq=PF, static_algorithm_count=2, metrics=()).static
 
 
 @query()
