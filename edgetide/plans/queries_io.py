@@ -475,3 +475,32 @@ def merge_intersections(spark: Sp, d: str) -> Df:
     edges = ids.select("u", (F.col("u") + 1).alias("v"), F.expr("(u div 10)").alias("props"), F.lit(1.0).alias("length"))
     uses = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg((2 * F.count("*")).alias("uses"))
     return P.merge_intersections(edges, uses)
+
+
+def _with_random(spark: Sp, d: str, kind: str) -> Df:
+    pairs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 97).alias("dst"))
+    path = shared_path(spark, "adj")
+    text.write_adj(pairs, path, pairs.agg(F.max(F.greatest("src", "dst"))).first()[0] + 1)
+    return text.read_graph(spark, path, kind)
+
+
+SMALL = "with p as (select distinct l_suppkey as s, l_partkey % 97 as t from lineitem), c as (select count(*) as m, max(greatest(s, t)) + 1 as n from p)"
+
+
+@query(f"{SMALL} select true as near from c")
+def adj_er(spark: Sp, d: str) -> Df:
+    """The file's edges and about as many random ones."""
+    pairs = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey") % 97).distinct().agg(F.count("*").alias("m"))
+    made = _with_random(spark, d, "adj_er").agg(F.count("*").alias("x"))
+    return made.crossJoin(F.broadcast(pairs)).select(F.col("x").between(1.8 * F.col("m"), 2.2 * F.col("m")).alias("near"))  # single rows
+
+
+@query(f"{SMALL} select (m + n * greatest(1, m // n))::bigint as n from c")
+def adj_ws(spark: Sp, d: str) -> Df:
+    return _with_random(spark, d, "adj_ws").agg(F.count("*").alias("n"))
+
+
+@query(f"with {LINES} select no, 'c' || o_custkey as author, len(p)::int as files from x")
+def commit_block(spark: Sp, d: str) -> Df:
+    """Files under the commit line before them."""
+    return raw.read_gitlog(spark, _gitlog(spark, d)).select(F.substring("hash", 2, 20).cast("long").alias("no"), "author", F.size("files").alias("files"))

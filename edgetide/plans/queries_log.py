@@ -545,3 +545,111 @@ def ratios(spark: Sp, d: str) -> Df:
 def hashes(spark: Sp, d: str) -> Df:
     """Integer hashes; theirs are this engine's own."""
     return table(spark, d, "events").select("event_id", scalars.hash64(F.col("user_id")).alias("h64"), scalars.hash32(F.col("user_id")).alias("h32"))
+
+
+# Scalar functions and programs one by one
+
+CODES = "(values (0, 0, true), (10, 1, true), (11, 2, true), (12, 4, true), (13, 8, true), (20, 1, true), (21, 2, true), (22, 4, true), (23, 8, true), (30, 4, false), (31, 8, false)) t(code, size, whole)"
+
+
+def _codes(spark: Sp) -> Df:
+    return spark.createDataFrame([(c,) for c in (0, 10, 11, 12, 13, 20, 21, 22, 23, 30, 31)], "code int")
+
+
+@query(f"select code, size from {CODES}")
+def type_size(spark: Sp, d: str) -> Df:
+    return _codes(spark).select("code", scalars.type_size(F.col("code")).alias("size"))
+
+
+@query(f"select code, whole from {CODES}")
+def is_integer_type(spark: Sp, d: str) -> Df:
+    return _codes(spark).select("code", scalars.is_integer_type(F.col("code")).alias("whole"))
+
+
+@query(over("g_user_k", "select case op when 0 then 'INSERT' else 'DELETE' end as name, count(*) as n from e group by 1"))
+def op_name(spark: Sp, d: str) -> Df:
+    return g_user_k(spark, d).groupBy(scalars.op_name(F.col("op")).alias("name")).agg(F.count("*").alias("n"))
+
+
+def _time_text(spark: Sp, d: str, pattern: str) -> Df:
+    return table(spark, d, "events").select("event_id", F.date_format("ts", pattern).alias("t"))
+
+
+@query("select event_id, epoch_us(date_trunc('minute', ts)) // 1000000 as s from events")
+def parse_ymdhm(spark: Sp, d: str) -> Df:
+    return _time_text(spark, d, "yyyyMMddHHmm").select("event_id", scalars.parse_ymdhm(F.col("t")).alias("s"))
+
+
+@query("select event_id, epoch_us(ts) // 1000000 as s from events")
+def parse_iso_z(spark: Sp, d: str) -> Df:
+    return _time_text(spark, d, "yyyy-MM-dd'T'HH:mm:ss'Z'").select("event_id", scalars.parse_iso_z(F.col("t")).alias("s"))
+
+
+@query("select event_id, epoch_us(ts) // 1000000 + 9000 as s from events")
+def parse_git_date(spark: Sp, d: str) -> Df:
+    return _time_text(spark, d, "yyyy-MM-dd HH:mm:ss").select("event_id", scalars.parse_git_date(F.concat("t", F.lit(" -0230"))).alias("s"))
+
+
+@query("select event_id, (epoch_us(ts) - epoch_us(timestamp '2018-12-31 00:00:00')) // 1000000 as s from events")
+def seconds_since(spark: Sp, d: str) -> Df:
+    return _time_text(spark, d, "yyyy-MM-dd HH:mm:ss").select("event_id", scalars.seconds_since(F.col("t")).alias("s"))
+
+
+@query("select event_id, make_timestamp(epoch_us(ts) // 1000000 * 1000000) as t from events")
+def epoch_to_date(spark: Sp, d: str) -> Df:
+    return table(spark, d, "events").select("event_id", scalars.epoch_to_date(seconds("ts")).cast("timestamp_ntz").alias("t"))
+
+
+@query(over("g_hop", "select (select count(distinct (src, dst)) from e)::double / (select count(*) from (select src from e union select dst from e)) as degree"))
+def avg_degree(spark: Sp, d: str) -> Df:
+    log = g_hop(spark, d)
+    one = A.num_unique_edges(log).crossJoin(F.broadcast(A.num_vertices(log)))  # single rows
+    return one.select(scalars.avg_degree(F.col("num_unique_edges"), F.col("num_vertices")).alias("degree"))
+
+
+@query(over("g_part", "select 100.0::double * count(*) filter (n > 1) / count(*) as pct from (select count(*) as n from e group by src, dst)"))
+def pct(spark: Sp, d: str) -> Df:
+    pairs = g_part(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("x"), F.count("*").alias("y"))
+    return pairs.select(A.percent(F.col("x"), F.col("y")).alias("pct"))
+
+
+@query("select event_id, regexp_extract(props, '\"k\": *([0-9]+)', 1)::double as k from events")
+def json_num(spark: Sp, d: str) -> Df:
+    return table(spark, d, "events").select("event_id", scalars.json_num(F.col("props"), "k").alias("k"))
+
+
+@query()
+def hash64(spark: Sp, d: str) -> Df:
+    return table(spark, d, "events").select("event_id", scalars.hash64(F.col("user_id")).alias("h"))
+
+
+@query()
+def hash32(spark: Sp, d: str) -> Df:
+    return table(spark, d, "events").select("event_id", scalars.hash32(F.col("user_id")).alias("h"))
+
+
+def _levels(spark: Sp, d: str, *keys: str) -> Df:
+    tag = lambda k, v: F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"))
+    tags = F.when(F.col("page_id") % 2 == 0, F.array(tag("highway", "secondary"), tag("cycleway", "opposite_lane"))).otherwise(F.array(tag("highway", "trunk"), tag("junction", "roundabout"), tag("busway", "lane")))
+    return table(spark, d, "pages").select("page_id", roads.access(tags).alias("a")).select("page_id", *(F.col(f"a.{k}").alias(k) for k in keys))
+
+
+@query("select page_id, case page_id % 2 when 0 then 'secondary' else 'trunk' end as car_forward, case page_id % 2 when 0 then 'allowed' else 'busway' end as bike_forward, case page_id % 2 when 0 then 'lane' else 'forbidden' end as bike_backward from pages")
+def tag_rules(spark: Sp, d: str) -> Df:
+    return _levels(spark, d, "car_forward", "bike_forward", "bike_backward")
+
+
+@query("select page_id, case page_id % 2 when 0 then 'secondary' else 'forbidden' end as car_backward, 'forbidden' as train from pages")
+def normalize(spark: Sp, d: str) -> Df:
+    """Levels that no tag names: the backward one follows the forward one, others are forbidden."""
+    return _levels(spark, d, "car_backward", "train")
+
+
+@query(over("g_trade", "select u as updates, count(n) as count from range(0, (select greatest(9, max(n)) + 1 from p)) t(u) left join p on p.n = u group by 1", "p as (select src, dst, count(*) as n from e group by 1, 2)"))
+def edge_statistics(spark: Sp, d: str) -> Df:
+    return A.edge_count_hist(g_trade(spark, d))
+
+
+@query("select 'part' as file, count(distinct ts) as unique_timestamps from (" + SQL["g_part"] + ") union all select 'user', count(distinct ts) from (" + SQL["g_user_k"] + ")")
+def count_timestamps(spark: Sp, d: str) -> Df:
+    return A.unique_timestamps(g_part(spark, d).select(F.lit("part").alias("file"), "ts").unionAll(g_user_k(spark, d).select(F.lit("user").alias("file"), "ts")))

@@ -275,6 +275,14 @@ def orientation_statistics(spark: Sp, d: str) -> Df:
     return edge_orientation(ST.assign_step(log), n, PF)
 
 
+@query(name="edge_orientation")
+def edge_orientation_trade(spark: Sp, d: str) -> Df:
+    """As orientation_statistics, over the trade graph."""
+    log = g_trade(spark, d)
+    n = log.agg(F.max(F.greatest("src", "dst"))).first()[0] + 1
+    return edge_orientation(ST.assign_step(log), n, PF)
+
+
 @query()
 def orientation_scalable(spark: Sp, d: str) -> Df:
     return degeneracy_orientation(_pairs(g_hop(spark, d)))
