@@ -4,6 +4,14 @@ Toxic documents go, then those the quality classifier rejects, then all but
 one of each near-duplicate group; secrets are replaced in what stays, and that
 is packed into windows. Every stage works on all that its predecessor kept,
 and all but the last return the columns of documents.
+
+Defined cases, in every stage: a null text reads as empty and stays null where
+its row stays; long texts are read whole; repeated rows are kept or rejected
+alike, but one of them stays at the near-duplicate stage, as of any group; rows
+without an id take part; extra columns pass through under any name; an empty
+table stays empty. `n_chars` remains what the source stated. Where there are
+no labels to learn from, the quality stage keeps all, and the toxicity stage
+goes by its fixed list.
 """
 
 from __future__ import annotations
