@@ -70,7 +70,7 @@ def identifiers(docs: DataFrame, bound: int) -> DataFrame:
     return words.select(F.explode(F.expr(f"concat(w, {', '.join(joined)})")).alias("word"))
 
 
-def fit(docs: DataFrame, bound: int = 500, strings: int = 4000) -> np.ndarray:
+def fit(docs: DataFrame, bound: int = 200, strings: int = 4000) -> np.ndarray:
     """Log-likelihood ratios of transitions, random over ordinary, as a flat table."""
     log = [np.log((c + 1.0) / (c + 1.0).sum(axis=1, keepdims=True)) for c in (transitions(random_strings(docs, strings)), transitions(identifiers(docs, bound)))]
     return (log[0] - log[1]).reshape(-1)
