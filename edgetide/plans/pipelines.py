@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -158,28 +160,30 @@ def segment_split(paths: DataFrame, cuts: DataFrame, key: str = "id") -> DataFra
     return both.groupBy(key, "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda x: x["node"]).alias("nodes")).where("size(nodes) > 1")
 
 
-def merge_intersections(edges: DataFrame, uses: DataFrame, max_rounds: int = 64) -> DataFrame:
+def merge_intersections(edges: DataFrame, uses: DataFrame) -> DataFrame:
     """(u, v, props, length): edges joined at nodes used by just two edge ends of equal properties, until none is left.
 
-    In a round, a node merges if its number is the least among the mergeable
-    ones next to it, so no edge takes part in two merges.
+    In a round, a node merges if its hash is the least among the mergeable
+    ones next to it, so no edge takes part in two merges. The hash changes each
+    round, so about a third of a chain's nodes merge, however they are numbered;
+    the least hash of all always merges, so the rounds come to an end.
     """
     from edgetide.session import checkpoint
 
     now = checkpoint(edges.select("u", "v", "props", "length"))
     inner = uses.where("uses = 4").select(F.col("node").alias("x"))
-    for _ in range(max_rounds):
+    for k in count():
         ends = now.withColumn("e", F.xxhash64("u", "v", "props", "length")).select("e", "props", "length", F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("far")), F.struct(F.col("v").alias("x"), F.col("u").alias("far")))).alias("p")).select("e", "props", "length", "p.x", "p.far")
         meets = ends.join(inner, "x", "left_semi").groupBy("x").agg(F.count("*").alias("n"), F.count_distinct("props").alias("kinds"), F.min(F.struct("far", "e", "length")).alias("a"), F.max(F.struct("far", "e", "length")).alias("b"), F.first("props").alias("props"))
         ready = meets.where("n = 2 and kinds = 1 and a.far <> b.far and a.far <> x and b.far <> x and a.e <> b.e")
-        claims = ready.select("x", F.explode(F.array("a.e", "b.e")).alias("e")).groupBy("e").agg(F.min("x").alias("least"))
-        wins = ready.join(claims.select(F.col("e").alias("ea"), F.col("least").alias("la")), F.col("a.e") == F.col("ea")).join(claims.select(F.col("e").alias("eb"), F.col("least").alias("lb")), F.col("b.e") == F.col("eb")).where("la = x and lb = x")
+        ready = ready.withColumn("rank", F.struct(F.xxhash64("x", F.lit(k)).alias("hash"), "x"))
+        claims = ready.select("rank", F.explode(F.array("a.e", "b.e")).alias("e")).groupBy("e").agg(F.min("rank").alias("least"))
+        wins = ready.join(claims.select(F.col("e").alias("ea"), F.col("least").alias("la")), F.col("a.e") == F.col("ea")).join(claims.select(F.col("e").alias("eb"), F.col("least").alias("lb")), F.col("b.e") == F.col("eb")).where("la = rank and lb = rank")
         wins = checkpoint(wins.select(F.col("a.far").alias("u"), F.col("b.far").alias("v"), "props", (F.col("a.length") + F.col("b.length")).alias("length"), F.array("a.e", "b.e").alias("gone")))
         if wins.isEmpty():
-            break
+            return now
         gone = wins.select(F.explode("gone").alias("e"))
         now = checkpoint(now.withColumn("e", F.xxhash64("u", "v", "props", "length")).join(gone, "e", "left_anti").drop("e").unionByName(wins.drop("gone")))
-    return now
 
 
 def history(ways: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -146,6 +146,13 @@ def test_history_and_merge(spark):
     assert got == [(0, 5, "a", 5.0), (5, 8, "b", 3.0)]
 
 
+def test_merge_of_an_ascending_chain(spark):
+    n = 300
+    edges = spark.range(n).selectExpr("id as u", "id + 1 as v", "'a' as props", "1D as length")
+    uses = spark.range(1, n).selectExpr("id as node", "4 as uses")
+    assert [(min(r.u, r.v), max(r.u, r.v), r.length) for r in P.merge_intersections(edges, uses).collect()] == [(0, n, float(n))]
+
+
 def test_paper_pipelines(spark, tmp_path):
     (tmp_path / "a.txt").write_text("#index10\n#* One\n#@A;B;C\n#t2001\n#%11\n#index11\n#* Two\n#@B\n#t1890\n")
     logs = P.aminer(raw.read_tagged_text(spark, str(tmp_path / "a.txt")))
