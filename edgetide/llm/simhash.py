@@ -207,6 +207,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group, that of the least doc_id, with all columns of `docs`.
 
+    Groups are those of the digest: fingerprints of 3-word shingles within 3
+    bits. Most near copies differ by more and stay; the README has figures.
     Rows that share their doc_id (or have none) are told apart by their
     fingerprint; where that agrees too, the least row stays.
     """
