@@ -2,13 +2,14 @@
 
 `decode` reads any GIF of the 87a and 89a kinds: LZW code streams with growing
 code widths, global and local palettes, interlacing, transparency, delays and
-disposal; `render` composes its frames. `encode` writes 8-bit samples as a
-timed grey animation. It clears the code table before the width grows, so
-writing and reading such streams is array work; other streams take the general
-decoder.
+disposal; `shown` composes its frames, and what rows tell of a frame is of the
+canvas as shown. `encode` writes 8-bit samples as a timed grey animation, on
+request by the compressing encoder, as the operator does. Without it, the code
+table is cleared before the width grows, and such streams are array work.
 
 Defined cases: a null or empty text is a payload of 64 zero bytes; long texts
-span several frames; a broken file gives no frames and its error; repeated rows
+span several frames; a broken file, or one whose canvas has more than 2^26
+samples, gives no frames and its error; repeated rows
 give equal results; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,8 @@ WIDTH = 64
 FRAME_ROWS = 1024
 #: A clear code and 247 samples are 248 codes of 9 bits: whole bytes, and short enough for the width to stay at 9.
 RUN = 247
+#: A canvas beyond this many samples (256 MB) gives an error, not a row's value.
+MOST = 1 << 26
 GREY = bytes(v for v in range(256) for _ in range(3))
 
 
@@ -286,10 +289,11 @@ def decode(data: bytes) -> Gif:
     return gif
 
 
-def render(gif: Gif) -> list[np.ndarray]:
-    """The canvas, height x width x RGBA, as shown at each frame."""
+def shown(gif: Gif) -> Iterator[np.ndarray]:
+    """The canvas, height x width x RGBA, as shown at each frame; to be read before the next one is asked for."""
+    if gif.height * gif.width > MOST:
+        raise ValueError("too large a canvas")
     canvas = np.zeros((gif.height, gif.width, 4), dtype=np.uint8)
-    shown = []
     for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
         area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
@@ -299,12 +303,23 @@ def render(gif: Gif) -> list[np.ndarray]:
             drawn = drawn & (samples != f.transparent)
         area[drawn, :3] = f.palette[samples[drawn]]
         area[drawn, 3] = 255
-        shown.append(canvas.copy())
+        yield canvas
         if f.disposal == 2:
             area[:] = 0
         elif before is not None:
             canvas = before
-    return shown
+
+
+def render(gif: Gif) -> list[np.ndarray]:
+    """All that `shown` gives, at once."""
+    return [canvas.copy() for canvas in shown(gif)]
+
+
+def canvas_histogram(canvas: np.ndarray, bits: int = 2) -> np.ndarray:
+    """Counts of a canvas's visible samples by colour, `bits` of each channel."""
+    flat = canvas.reshape(-1, 4)
+    p = flat[flat[:, 3] > 0, :3] >> (8 - bits)
+    return np.bincount((p[:, 0].astype(np.int64) << 2 * bits) | (p[:, 1].astype(np.int64) << bits) | p[:, 2], minlength=1 << 3 * bits)
 
 
 def histogram(frame: Frame, bits: int = 2) -> np.ndarray:
@@ -328,7 +343,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def factory() -> Callable[[str], tuple]:
         def row(text: str) -> tuple:
             data, n = payload(text)
-            return n, encode(data)
+            return n, encode(data, compress=True)
 
         return row
 
@@ -339,29 +354,40 @@ FRAME_SQL = "array<struct<frame:long,start_ms:long,delay_ms:long,left:long,top:l
 
 
 def frames(media: DataFrame, id_col: str = "doc_id", gif_col: str = "gif") -> DataFrame:
-    """A row for each frame of each GIF: times, place and colour histogram; a broken file gives one row with its error."""
+    """A row for each frame of each GIF: times, place, and the samples (RGBA) and colour histogram of the whole canvas as shown.
+
+    A broken file gives one row with its error.
+    """
     spark = media.sparkSession
     ship(spark)
     bound_arrow(spark)
     numbers = ["frame", "start_ms", "delay_ms", "left", "top", "width", "height"]
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in numbers), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in numbers), ("samples", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     start = 0
-                    for k, f in enumerate(decode(data or b"").frames):
-                        rows.append((doc, k, start, f.delay_ms, f.left, f.top, f.width, f.height, histogram(f).tolist(), None))
+                    gif = decode(data or b"")
+                    for k, (f, canvas) in enumerate(zip(gif.frames, shown(gif), strict=True)):
+                        rows.append((doc, k, start, f.delay_ms, f.left, f.top, f.width, f.height, canvas.tobytes(), canvas_histogram(canvas).tolist(), None))
                         start += f.delay_ms
+                        held += canvas.nbytes
+                        if held > 1 << 24:
+                            yield made(rows)
+                            rows, held = [], 0
                 except (ValueError, IndexError, struct.error) as e:
-                    rows.append((doc, *[None] * 8, str(e)))
-            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    rows.append((doc, *[None] * 9, str(e)))
+            yield made(rows)
 
     rows = media.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{gif_col}`").cast("binary").alias("gif"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in numbers) + ", histogram array<long>, error string")
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in numbers) + ", samples binary, histogram array<long>, error string")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,10 +396,13 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def factory() -> Callable[[str], tuple]:
         def row(text: str) -> tuple:
             data, n = payload(text)
-            stored = encode(data)
+            stored = encode(data, compress=True)
             gif = decode(stored)
-            back = b"".join(f.samples.tobytes() for f in gif.frames)
-            total = sum(histogram(f) for f in gif.frames)
+            parts, total = [], 0
+            for f, canvas in zip(gif.frames, shown(gif), strict=True):
+                parts.append(canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
+                total = total + canvas_histogram(canvas)
+            back = b"".join(parts)
             seen = ",".join(f"{i}:{v}" for i, v in enumerate(total.tolist()) if v)
             feature = f"{len(gif.frames)}x{gif.width}x{gif.height};{sum(f.delay_ms for f in gif.frames)}ms;{seen}"
             return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature

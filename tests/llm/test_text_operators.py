@@ -236,6 +236,23 @@ def test_gif_disposal_and_transparency():
     assert gif.histogram(made.frames[1]).sum() == 1
 
 
+def test_gif_frames_are_those_shown(spark):
+    """A transparent frame lets the one before through; a disposed one leaves nothing."""
+    head = b"GIF89a" + bytes([2, 0, 1, 0, 0x80, 0, 0]) + bytes([255, 0, 0, 0, 255, 0])
+    frame = lambda control, left, samples: b"\x21\xf9\x04" + bytes([control, 5, 0, 1, 0]) + b"\x2c" + bytes([left, 0, 0, 0, len(samples), 0, 1, 0, 0]) + b"\x02" + gif.sub_blocks(gif.lzw_encode(bytes(samples), 2))
+    data = head + frame(0, 0, [0, 0]) + frame(1 | 2 << 2, 0, [1, 0]) + frame(0, 1, [1]) + b"\x3b"
+    rows = gif.frames(spark.createDataFrame([(1, data)], "doc_id long, gif binary")).orderBy("frame").collect()
+    red, green, none = bytes([255, 0, 0, 255]), bytes([0, 255, 0, 255]), bytes(4)
+    assert [bytes(r.samples) for r in rows] == [red + red, red + red, none + green]
+    assert [{i: v for i, v in enumerate(r.histogram) if v} for r in rows] == [{48: 2}, {48: 2}, {12: 1}]
+
+
+def test_gif_media_are_compressed(spark):
+    df = spark.createDataFrame([(1, "river stone bread " * 8000)], "doc_id long, text string")
+    r = gif.digest(df).first()
+    assert r.media_bytes < r.n_bytes / 4 and r.payload_sha256 == hashlib.sha256(gif.payload("river stone bread " * 8000)[0]).hexdigest()
+
+
 def plain_secrets(t):
     a = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in a.finditer(t) if len(m.group(1)) >= 12]
