@@ -104,6 +104,8 @@ def append_bfs(arrivals: DataFrame, src: int, max_rounds: int = 10_000) -> DataF
         found.append(better.withColumn("h", F.lit(h)))
         best = checkpoint(best.unionAll(better).groupBy("x").agg(F.min("b").alias("b")))
         front = better
+    else:
+        raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
     out = spark.range(1).select(F.lit(src).cast("long").alias("v"), F.lit(0).alias("h"), F.lit(0).cast("long").alias("b"))
     for f in found:
         out = out.unionAll(f.select(F.col("x").alias("v"), "h", "b"))

@@ -26,6 +26,8 @@ def static_bfs(edges: DataFrame, src: int, max_rounds: int = 100_000) -> DataFra
         if front.isEmpty():
             break
         seen = checkpoint(seen.unionAll(front))
+    else:
+        raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
     return seen.select(F.col("a").alias("v"), "distance")
 
 
@@ -53,6 +55,8 @@ def coreness(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         now = new.select("a", "h")
         if new.where("h <> old").isEmpty():
             break
+    else:
+        raise RuntimeError(f"coreness did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("v"), F.col("h").alias("core"))
 
 

@@ -268,3 +268,10 @@ def test_neighbours_of_a_hot_key(spark):
             want[last[w]][2] = s
         last[w] = s
     assert got == [(s, *want[s]) for s, _ in rows]
+
+
+def test_rounds_that_do_not_settle_raise(spark):
+    path = spark.range(12).selectExpr("id as u", "id + 1 as v", "id as step")
+    for run in (lambda: static.static_bfs(path, 0, 3), lambda: static.coreness(path, 2), lambda: R.append_bfs(path, 0, 3)):
+        with pytest.raises(RuntimeError, match="did not settle"):
+            run()
