@@ -5,12 +5,13 @@ code widths, global and local palettes, interlacing, transparency, delays and
 disposal; `shown` composes its frames, and what rows tell of a frame is of the
 canvas as shown. `encode` writes 8-bit samples as a timed grey animation, on
 request by the compressing encoder, as the operator does. Without it, the code
-table is cleared before the width grows, and such streams are array work.
+table is cleared before the width grows. Bits are packed and cut as arrays; the
+code table itself is worked code by code.
 
 Defined cases: a null or empty text is a payload of 64 zero bytes; long texts
-span several frames; a broken file, or one whose canvas has more than 2^26
-samples, gives no frames and its error; repeated rows
-give equal results; an empty table gives an empty result; other columns are
+span several frames; a broken file, or one that states a canvas or a frame of
+more than 2^26 samples, or leaves more than that unsaid, gives no frames and its
+error; repeated rows give equal results; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -64,35 +65,6 @@ class Gif:
     frames: list[Frame]
 
 
-def pack9(codes: np.ndarray) -> bytes:
-    """Codes of 9 bits, least significant bit first; eight of them fill nine bytes."""
-    n = len(codes)
-    c = np.zeros(-(-n // 8) * 8, dtype=np.uint64)
-    c[:n] = codes
-    c = c.reshape(-1, 8)
-    low = c[:, 0].copy()
-    for i in range(1, 8):
-        low |= c[:, i] << np.uint64(9 * i)
-    out = np.empty((len(c), 9), dtype=np.uint8)
-    out[:, :8] = low.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8] = (c[:, 7] >> np.uint64(1)).astype(np.uint8)
-    return out.tobytes()[: -(-n * 9 // 8)]
-
-
-def unpack9(data: bytes) -> np.ndarray:
-    """The reverse of pack9, for as many whole codes as there are."""
-    n = len(data) * 8 // 9
-    raw = np.zeros(-(-len(data) // 9) * 9, dtype=np.uint8)
-    raw[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-    raw = raw.reshape(-1, 9)
-    low = np.ascontiguousarray(raw[:, :8]).view("<u8").reshape(-1)
-    out = np.empty((len(raw), 8), dtype=np.uint16)
-    for i in range(7):
-        out[:, i] = (low >> np.uint64(9 * i)) & np.uint64(511)
-    out[:, 7] = (low >> np.uint64(63)).astype(np.uint16) | (raw[:, 8].astype(np.uint16) << 1)
-    return out.reshape(-1)[:n]
-
-
 def sub_blocks(data: bytes) -> bytes:
     """Data in blocks of at most 255 bytes, with their lengths, then the end."""
     whole = len(data) // 255
@@ -110,102 +82,120 @@ def lzw_literals(samples: np.ndarray) -> bytes:
     codes[:, 0] = 256
     codes[:, 1:] = samples[: whole * RUN].reshape(whole, RUN)
     rest = samples[whole * RUN :]
-    return pack9(np.concatenate([codes.reshape(-1), np.array([256], dtype=np.uint16), rest.astype(np.uint16), np.array([257], dtype=np.uint16)]))
+    every = np.concatenate([codes.reshape(-1), [256], rest, [257]]).astype(np.uint64)
+    return pack_bits(every, np.full(len(every), 9))
+
+
+def schedule(width: int, n: int) -> np.ndarray:
+    """The bit widths of the first `n` codes after a clear: wider once the table has filled a power of two, 12 at most."""
+    free = (1 << width) + 2 + np.maximum(np.arange(n) - 1, 0)  # codes known when the k-th is read
+    return np.clip(np.frexp(free.astype(np.float64))[1], width + 1, 12)
 
 
 def lzw_encode(samples: bytes, width: int = 8) -> bytes:
-    """The compressing encoder, with a table that grows to 4096 codes."""
-    clear, out, acc, bits = 1 << width, bytearray(), 0, 0
-
-    def put(code: int, size: int) -> None:
-        nonlocal acc, bits
-        acc |= code << bits
-        bits += size
-        while bits >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            bits -= 8
-
-    table: dict[tuple[int, int], int] = {}
-    size, free = width + 1, clear + 2
-    put(clear, size)
-    prefix = -1
+    """The compressing encoder, with a table that grows to 4096 codes and is then cleared. The bits are packed as arrays."""
+    clear = 1 << width
+    codes: list[int] = [clear]
+    lengths: list[int] = []  # codes of each table, its clear not among them
+    put, table, free, begun, prefix = codes.append, {}, clear + 2, 1, -1
+    known = table.get
     for s in samples:
         if prefix < 0:
             prefix = s
             continue
-        known = table.get((prefix, s))
-        if known is not None:
-            prefix = known
+        key = prefix << 8 | s
+        code = known(key)
+        if code is not None:
+            prefix = code
             continue
-        put(prefix, size)
+        put(prefix)
+        prefix = s
         if free < 4096:
-            table[prefix, s] = free
-            size += free == 1 << size
+            table[key] = free
             free += 1
         else:
-            put(clear, size)
-            table, size, free = {}, width + 1, clear + 2
-        prefix = s
+            put(clear)
+            lengths.append(len(codes) - begun)
+            begun, free = len(codes), clear + 2
+            table.clear()
     if prefix >= 0:
-        put(prefix, size)
-        size += free == 1 << size and size < 12
-    put(clear + 1, size)
-    if bits:
-        out.append(acc & 255)
-    return bytes(out)
+        put(prefix)
+    put(clear + 1)
+    lengths.append(len(codes) - begun)
+    widths = schedule(width, max(lengths))
+    return pack_bits(np.array(codes, dtype=np.uint64), np.concatenate([[width + 1], *(widths[:n] for n in lengths)]))
+
+
+def pack_bits(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of at most 12 bits, least significant bit first."""
+    ends = np.cumsum(widths)
+    starts = ends - widths
+    out = np.zeros((int(ends[-1]) >> 3) + 4, dtype=np.uint8)
+    moved = codes << (starts & 7).astype(np.uint64)  # within 19 bits, so within three bytes
+    at = starts >> 3
+    for k in range(3):  # codes are at least 3 bits wide, so those that share a byte add up without carries
+        out += np.bincount(at + k, weights=(moved >> np.uint64(8 * k)) & np.uint64(255), minlength=len(out)).astype(np.uint8)[: len(out)]
+    return out[: (int(ends[-1]) + 7) >> 3].tobytes()
+
+
+def read_codes(data: np.ndarray, bit: int, widths: np.ndarray) -> np.ndarray:
+    """Codes of the given widths from a bit on. `data` ends in four bytes of zeros."""
+    starts = bit + np.cumsum(widths) - widths
+    at = starts >> 3
+    word = data[at].astype(np.uint32) | data[at + 1].astype(np.uint32) << 8 | data[at + 2].astype(np.uint32) << 16
+    return (word >> (starts & 7).astype(np.uint32)) & ((1 << widths) - 1).astype(np.uint32)
 
 
 def lzw_decode(data: bytes, width: int, wanted: int) -> np.ndarray:
-    """The samples of a code stream, at most `wanted` of them."""
+    """The samples of a code stream, at most `wanted` of them.
+
+    Codes are cut from the bits as arrays, up to the next clear; the table then
+    decodes them. A stream that never clears is read in portions of 12 bits.
+    """
     clear, end = 1 << width, (1 << width) + 1
-    if width == 8:
-        codes = unpack9(data)
-        stop = np.flatnonzero(codes == end)
-        if len(stop):
-            codes = codes[: stop[0]]
-            marks = np.flatnonzero(codes == clear)
-            runs = np.diff(np.concatenate([marks, [len(codes)]]))
-            # Between clears of at most 254 literals the width stays at 9; so far every code was read rightly.
-            if len(marks) and marks[0] == 0 and runs.max() <= 255 and codes.max() <= clear:
-                return codes[codes < clear].astype(np.uint8)[:wanted]
-    out = bytearray()
-    acc = bits = at = 0
-    size, prev = width + 1, b""
-    table: list[bytes] = []
-
-    def reset() -> list[bytes]:
-        return [bytes([i]) for i in range(clear)] + [b"", b""]
-
-    table = reset()
-    while len(out) < wanted:
-        while bits < size:
-            if at >= len(data):
-                return np.frombuffer(bytes(out[:wanted]), dtype=np.uint8)
-            acc |= data[at] << bits
-            at += 1
-            bits += 8
-        code = acc & ((1 << size) - 1)
-        acc >>= size
-        bits -= size
-        if code == clear:
-            table, size, prev = reset(), width + 1, b""
-            continue
-        if code == end:
+    padded = np.frombuffer(data + b"\0\0\0\0", dtype=np.uint8)
+    total, bit = 8 * len(data), 0
+    # The table takes 4096 - clear entries; then widths stay.
+    first = schedule(width, 4096 - clear + 1)
+    steady = np.full(1 << 12, 12)
+    literals = [bytes([i]) for i in range(clear)] + [b"", b""]
+    out: list[bytes] = []
+    parts: list[bytes] = []
+    have, table, prev, fresh = 0, literals.copy(), b"", True
+    while have < wanted:
+        widths = first if fresh else steady
+        fits = int(np.searchsorted(np.cumsum(widths), total - bit, side="right"))
+        codes = read_codes(padded, bit, widths[:fits])
+        stop = np.flatnonzero((codes == clear) | (codes == end))
+        used = int(stop[0]) if len(stop) else len(codes)
+        grown = len(table)
+        add, keep = table.append, parts.append
+        for code in codes[:used].tolist():
+            if code < grown:
+                entry = table[code]
+            elif code == grown and prev:
+                entry = prev + prev[:1]
+            else:
+                raise ValueError("a code beyond the table")
+            keep(entry)
+            if prev and grown < 4096:
+                add(prev + entry[:1])
+                grown += 1
+            prev = entry
+        done = b"".join(parts)
+        have, parts = have + len(done), []
+        out.append(done)
+        if not len(stop):
+            if fits < len(widths):
+                break  # the data end here
+            bit += int(widths.sum())
+            fresh = False
+        elif codes[used] == end:
             break
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and prev:
-            entry = prev + prev[:1]
         else:
-            raise ValueError("a code beyond the table")
-        out += entry
-        if prev and len(table) < 4096:
-            table.append(prev + entry[:1])
-            if len(table) == 1 << size and size < 12:
-                size += 1
-        prev = entry
-    return np.frombuffer(bytes(out[:wanted]), dtype=np.uint8)
+            bit += int(widths[: used + 1].sum())
+            table, prev, fresh = literals.copy(), b"", True
+    return np.frombuffer(b"".join(out)[:wanted], dtype=np.uint8)
 
 
 def encode(samples: bytes, width: int = WIDTH, rows: int = FRAME_ROWS, delay_ms: int = 40, compress: bool = False) -> bytes:
@@ -249,7 +239,7 @@ def decode(data: bytes) -> Gif:
         shared = np.frombuffer(data, dtype=np.uint8, count=n, offset=at).reshape(-1, 3)
         at += n
     gif = Gif(width, height, shared[back] if shared is not None and back < len(shared) else None, [])
-    delay = disposal = 0
+    delay = disposal = missing = 0
     transparent: int | None = None
     while at < len(data):
         kind = data[at]
@@ -271,10 +261,17 @@ def decode(data: bytes) -> Gif:
                 at += n
             if palette is None:
                 raise ValueError("no palette")
+            if w * h > MOST:
+                raise ValueError("too large a frame")
+            if not 2 <= data[at] <= 8:
+                raise ValueError("an impossible code width")
             body, after = read_blocks(data, at + 1)
             samples = lzw_decode(body, data[at], w * h)
             at = after
             if len(samples) < w * h:
+                missing += w * h - len(samples)
+                if missing > MOST:
+                    raise ValueError("too many samples that the data don't hold")
                 samples = np.concatenate([samples, np.zeros(w * h - len(samples), dtype=np.uint8)])
             samples = samples.reshape(h, w)
             if flags & 0x40:
