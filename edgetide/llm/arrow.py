@@ -11,9 +11,21 @@ from pyspark.sql import functions as F
 from edgetide.session import bound_arrow, ship
 
 
+def place(docs: DataFrame, name: str) -> int:
+    """Where a column stands: the one of exactly this name, or else one that differs by case only."""
+    names = docs.columns
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+def pick(docs: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
+    """New name = (column, type) of each column wanted. Others are pruned; names that differ by case only don't clash."""
+    plain = [f"edgetide_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*plain).select(*(F.col(plain[place(docs, c)]).cast(t).alias(n) for n, (c, t) in wanted.items()))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns every text operator reads; others are pruned, whatever their names."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """The two columns every text operator reads."""
+    return pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
