@@ -36,7 +36,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    rows = quality_classifier.featured(docs)
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels"), rows=rows), rows=rows)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
