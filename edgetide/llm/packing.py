@@ -1,19 +1,27 @@
 """Packing of documents into fixed windows by the online sum-of-squares rule.
 
-Each partition packs its documents as they come. Whole windows are cut from a
-long document at once; its rest goes to the fill level that makes the sum of
-squared counts of partially filled windows least, found in an array of counts
-by level. Where more than `max_open` windows are open, and at the end of a
-partition, the open windows are cut anew into full ones, and the last rest
-into sequences whose lengths are powers of two. So no sequence is padded and
-memory is bounded by `max_open` windows.
+Whole windows are cut from a long document at once; its rest goes to the fill
+level that makes the sum of squared counts of partially filled windows least,
+found in an array of counts by level; of equal levels the fullest, and a new
+window only where that is strictly better. Each partition packs its documents
+as they come. What its open windows hold at the end is carried to a second
+pass, where the carried rests of many partitions, about `GROUP` documents at a
+time, are placed anew by the same rule. Only what a group leaves open is cut:
+the fullest windows are filled from the emptiest, and the last of them ends in
+sequences whose lengths are powers of two. So no sequence is padded.
+
+Memory is bounded by `max_open` windows: beyond it, two windows of the most
+crowded level are joined, or one is filled from the other, whose rest is placed
+anew. Column `closed` says how a sequence was closed: whole (cut from one
+document), rule (filled to the brim by it), cut (as above).
 
 Ids come from the tokenizers library, each distinct piece of plain text once.
 
 Defined cases: a null or empty text is the closing id alone; long texts are
 cut; repeated rows are packed each; an empty table gives an empty result; other
-columns are ignored. A sequence's id holds its partition, so a partition that
-is computed again after a loss gives the same rows.
+columns are ignored. Which documents share a sequence depends on how the input
+is dealt to partitions; a sequence's id holds its partition or group, and the
+first pass is checkpointed, so what is computed again after a loss is the same.
 """
 
 from __future__ import annotations
@@ -27,10 +35,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from edgetide.llm.arrow import id_and_text, texts
 from edgetide.llm.wordbpe import MEMO_PIECES, PIECES, is_plain
-from edgetide.session import bound_arrow, ship
+from edgetide.session import bound_arrow, checkpoint, ship
 
 Piece = tuple[int, int, bytes, int]  # row of the document, start, ids, its document's tokens
 
@@ -89,117 +98,210 @@ def library_ids(path: str) -> LibraryIds:
     return LibraryIds(path)
 
 
-class LevelPacker:
-    """Windows of `size` tokens, open ones counted by fill level."""
+def tokens_of(window: list[Piece]) -> int:
+    return sum(len(p[2]) for p in window) // 4
+
+
+def split(window: list[Piece], n: int) -> tuple[list[Piece], list[Piece]]:
+    """The first `n` tokens of some pieces, and the others."""
+    first: list[Piece] = []
+    for k, (row, start, ids, total) in enumerate(window):
+        here = len(ids) // 4
+        if here > n:
+            head = [(row, start, ids[: 4 * n], total)] if n else []
+            return first + head, [(row, start + n, ids[4 * n :], total), *window[k + 1 :]]
+        first.append(window[k])
+        n -= here
+    return first, []
+
 
-    def __init__(self, size: int, max_open: int = 2048):
-        self.size, self.max_open = size, max_open
-        self.level = np.zeros(size + 1)
-        self.level[size] = -0.5  # a window that is filled leaves the sum
-        self.windows: list[list[list[Piece]]] = [[] for _ in range(size)]
+class LevelPacker:
+    """Windows of `size` tokens, open ones counted by fill level. `done` holds (how it was closed, pieces)."""
+
+    def __init__(self, size: int, max_open: int = 4096):
+        self.size, self.max_open = size, max(1, max_open)
+        self.done: list[tuple[str, list[Piece]]] = []
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all open windows."""
+        self.level = np.zeros(self.size + 1)
+        self.level[self.size] = -0.5  # a window that is filled leaves the sum
+        self.windows: list[list[list[Piece]]] = [[] for _ in range(self.size)]
         self.open = 0
-        self.done: list[list[Piece]] = []
 
     def add(self, row: int, ids: bytes) -> None:
         """Place one document's ids."""
         size, total = self.size, len(ids) // 4
         cut = total - total % size
         for start in range(0, cut, size):
-            self.done.append([(row, start, ids[4 * start : 4 * (start + size)], total)])
+            self.done.append(("whole", [(row, start, ids[4 * start : 4 * (start + size)], total)]))
         if rest := total - cut:
             self.place((row, cut, ids[4 * cut :], total), rest)
 
     def place(self, piece: Piece, n: int) -> None:
+        """Put a piece of `n` tokens where the sum of squares becomes least."""
         size, level = self.size, self.level
         here = level[1 : size - n + 1]
         cost = np.where(here > 0, 2 * (level[n + 1 :] - here) + 2, np.inf)
         best = size - n - int(np.argmin(cost[::-1])) if len(cost) else 0  # of equal ones the fullest
         if not len(cost) or cost[best - 1] > 2 * level[n] + 1:
             best, window = 0, []
-            self.open += 1
         else:
-            window = self.windows[best].pop()
-            level[best] -= 1
+            window = self.take(best)
         window.append(piece)
-        if best + n == size:
-            self.done.append(window)
-            self.open -= 1
+        self.put(window, best + n, "rule")
+        while self.open > self.max_open:
+            self.relieve()
+
+    def take(self, fill: int) -> list[Piece]:
+        self.level[fill] -= 1
+        self.open -= 1
+        return self.windows[fill].pop()
+
+    def put(self, window: list[Piece], fill: int, how: str) -> None:
+        if fill == self.size:
+            self.done.append((how, window))
         else:
-            self.windows[best + n].append(window)
-            level[best + n] += 1
-            if self.open > self.max_open:
-                self.recut(final=False)
-
-    def recut(self, final: bool) -> None:
-        """Cut all open windows anew into full ones; the last rest stays open, or at the end goes to powers of two."""
-        pieces = [p for level in reversed(self.windows) for w in level for p in w]
-        self.windows = [[] for _ in range(self.size)]
-        self.level[: self.size] = 0
-        self.open = 0
-        left = sum(len(p[2]) for p in pieces) // 4
-        goal = self.size
-        window: list[Piece] = []
-        room = goal = self.size if left >= self.size or not final else 1 << (left.bit_length() - 1) if left else 0
-        for row, start, ids, total in pieces:
-            while ids:
-                part, ids = ids[: 4 * room], ids[4 * room :]
-                n = len(part) // 4
-                window.append((row, start, part, total))
-                start, room, left = start + n, room - n, left - n
-                if not room:
-                    self.done.append(window)
-                    window = []
-                    room = goal = self.size if left >= self.size or not final else 1 << (left.bit_length() - 1) if left else 0
-        if window:
-            fill = goal - room
             self.windows[fill].append(window)
             self.level[fill] += 1
-            self.open = 1
-
-
-COLUMNS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
-
+            self.open += 1
 
-def pack(docs: DataFrame, path: str, size: int = 2048, closing_id: int = 1, max_open: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: its document, start and length there, checksum, sequence and offset there; on request its ids."""
-    spark = docs.sparkSession
-    ship(spark)
-    bound_arrow(spark)
-    schema = pa.schema([("doc_id", pa.int64()), *COLUMNS, *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
+    def relieve(self) -> None:
+        """One open window less: two of the most crowded level are joined, or one filled from the other; of equal levels the fullest."""
+        fill = self.size - 1 - int(np.argmax(self.level[: self.size][::-1]))
+        first = self.take(fill)
+        other = fill if self.level[fill] else self.size - 1 - int(np.argmax(self.level[: self.size][::-1] > 0))
+        second = self.take(other) if self.open else []
+        head, rest = split(second, self.size - fill)
+        window = first + head
+        self.put(window, tokens_of(window), "cut")
+        for p in rest:
+            self.place(p, len(p[2]) // 4)
+
+    def carry(self) -> list[Piece]:
+        """All pieces of the open windows, in order of their documents; none stays open."""
+        pieces = sorted((p for level in self.windows for w in level for p in w), key=lambda p: (p[0], p[1]))
+        self.clear()
+        return pieces
+
+    def settle(self) -> None:
+        """Close all open windows: the fullest are filled from the emptiest, and the last ends in powers of two."""
+        left = [w for level in reversed(self.windows) for w in level]
+        self.clear()
+        at, last = 0, len(left) - 1
+        while at <= last:
+            window, room = left[at], self.size - tokens_of(left[at])
+            at += 1
+            while room and at <= last:
+                head, left[last] = split(left[last], room)
+                window = window + head
+                room -= tokens_of(head)
+                last -= not left[last]
+            if not room:
+                self.done.append(("cut", window))
+                continue
+            while window:
+                head, window = split(window, 1 << (tokens_of(window).bit_length() - 1))
+                self.done.append(("cut", head))
+
+
+NUMBERS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+SCHEMA = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in NUMBERS), ("closed", pa.string()), ("part", pa.int64()), ("row", pa.int64()), ("ids", pa.binary())])
+DDL = "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", closed string, part long, row long, ids binary"
+#: Documents of a group of the second pass, about.
+GROUP = 16_384
+#: Sequence ids of the second pass start here; those of the first are below it.
+SECOND = 1 << 61
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
+
+
+def closed_rows(packer: LevelPacker, names: dict[int, int | None], sequence: int, with_ids: bool) -> list[tuple]:
+    """A row for each piece of the closed windows, numbered from `sequence` on; the packer forgets them."""
+    rows = []
+    for k, (how, window) in enumerate(packer.done):
+        offset = 0
+        for at, start, ids, total in window:
+            n = len(ids) // 4
+            rows.append((names[at], start, n, zlib.crc32(ids), total, sequence + k, offset, how, None, None, ids if with_ids else None))
+            offset += n
+    packer.done = []
+    return rows
+
+
+def first_pass(docs: DataFrame, path: str, size: int, closing_id: int, max_open: int, with_ids: bool) -> DataFrame:
+    """Closed sequences of each partition, and rows without a sequence for the pieces it left open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, packer, close = library_ids(path), LevelPacker(size, max_open), np.array([closing_id], dtype="<u4").tobytes()
-        sequence = TaskContext.get().partitionId() << 36
-        names: dict[int, int | None] = {}
-        row = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal sequence, names
-            columns: list[list] = [[] for _ in schema]
-            for window in packer.done:
-                offset = 0
-                for at, start, ids, total in window:
-                    n = len(ids) // 4
-                    values = (names[at], start, n, zlib.crc32(ids), total, sequence, offset)
-                    for c, v in zip(columns, values, strict=False):
-                        c.append(v)
-                    if with_ids:
-                        columns[-1].append(np.frombuffer(ids, dtype="<u4").astype(np.int64))
-                    offset += n
-                sequence += 1
-            packer.done = []
+        part = TaskContext.get().partitionId()
+        sequence, names, row = part << 36, {}, 0
+        for batch in batches:
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode_all(texts(batch)), strict=True):
+                names[row] = doc
+                packer.add(row, ids + close)
+                row += 1
+            closed = len(packer.done)
+            yield batch_of(closed_rows(packer, names, sequence, with_ids))
+            sequence += closed
             still = {p[0] for level in packer.windows for w in level for p in w}
             names = {k: v for k, v in names.items() if k in still}
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        left = packer.carry()
+        for at in range(0, len(left), 1000):
+            yield batch_of([(names[k], start, len(ids) // 4, None, total, None, None, None, part, k, ids) for k, start, ids, total in left[at : at + 1000]])
+
+    return docs.mapInArrow(run, DDL)
 
+
+def second_pass(carried: DataFrame, size: int, max_open: int, with_ids: bool) -> DataFrame:
+    """Sequences of the carried pieces, group by group; all are closed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, group, sequence, names, row = LevelPacker(size, max_open), None, 0, {}, 0
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode_all(texts(batch)), strict=True):
+            out = []
+            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("bin", "doc_id", "start", "doc_tokens", "ids")]
+            for here, doc, start, total, ids in zip(*columns, strict=True):
+                if here != group:
+                    packer.settle()
+                    out += closed_rows(packer, names, sequence, with_ids)
+                    group, sequence, names, row = here, SECOND + (here << 36), {}, 0
                 names[row] = doc
-                packer.add(row, ids + close)
+                packer.place((row, start, ids, total), len(ids) // 4)
                 row += 1
-            yield flush()
-        packer.recut(final=True)
-        yield flush()
+            closed = len(packer.done)
+            out += closed_rows(packer, names, sequence, with_ids)
+            sequence += closed
+            yield batch_of(out)
+        packer.settle()
+        yield batch_of(closed_rows(packer, names, sequence, with_ids))
+
+    return carried.mapInArrow(run, DDL)
+
+
+def pack(docs: DataFrame, path: str, size: int = 2048, closing_id: int = 1, max_open: int = 4096, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each piece: its document, start and length there, checksum, sequence and offset there, how it was closed; on request its ids."""
+    spark = docs.sparkSession
+    ship(spark)
+    bound_arrow(spark)
+    first = checkpoint(first_pass(id_and_text(docs, id_col, text_col), path, size, closing_id, max_open, with_ids))
+    kept, carried = first.where("sequence_id is not null"), first.where("sequence_id is null")
+    some = carried.agg(F.count("*").alias("n"), F.max("part").alias("last")).first()
+    groups, parts = max(1, -(-some["n"] // GROUP)), (some["last"] or 0) + 1
+    carried = carried.withColumn("bin", F.floor(F.col("part") * groups / parts)).repartition("bin").sortWithinPartitions("bin", "part", "row", "start")
+    packed = kept.unionAll(second_pass(carried.select("bin", "doc_id", "start", "doc_tokens", "ids"), size, max_open, with_ids))
+    out = packed.select("doc_id", *NUMBERS, "closed", *(["ids"] if with_ids else []))
+    if not with_ids:
+        return out
+    schema = pa.schema([*[f for f in SCHEMA if f.name not in ("part", "row", "ids")], ("ids", pa.list_(pa.int64()))])
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(b, dtype="<u4").astype(np.int64) for b in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, schema.field("ids").type)], schema=schema)
 
-    ddl = "doc_id long, " + ", ".join(f"{n} long" for n, _ in COLUMNS) + (", ids array<long>" if with_ids else "")
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, ddl)
+    return out.mapInArrow(numbers, "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", closed string, ids array<long>")
