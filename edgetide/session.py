@@ -6,6 +6,8 @@ import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the one the cluster names, or else a temporary one."""
+    """The shared folder for checkpoints: the one the cluster names, or else, on one machine only, a temporary one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="edgetide-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -51,7 +55,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def bound_arrow(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
-    """Bound the Arrow batches handed to Python workers by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bounds for the Arrow batches handed to Python workers, where the session states none.
+BOUNDS = {ROWS: "1000", BYTES: "16m"}
+
+
+def bound_arrow(spark: SparkSession) -> None:
+    """Bound the Arrow batches by rows and by bytes; what the session's user has set stays."""
+    for key, value in BOUNDS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of so many rows for the jobs that run within; the session's settings come back afterwards."""
+    before = spark.conf.get(ROWS, None)
+    spark.conf.set(ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(ROWS) if before is None else spark.conf.set(ROWS, before)
