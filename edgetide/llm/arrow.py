@@ -66,7 +66,7 @@ def map_texts(docs: DataFrame, factory: Callable[[], Callable[[str], tuple]], fi
 
 
 def filter_rows(docs: DataFrame, mask_factory: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
-    """The rows of `docs`, all columns kept, where the mask is true; no join, so repeated rows and null ids survive."""
+    """The rows of `docs`, all columns kept, where the mask, by columns' places, is true; no join, so repeated rows and null ids survive."""
     spark = docs.sparkSession
     ship(spark)
     bound_arrow(spark)
@@ -76,4 +76,5 @@ def filter_rows(docs: DataFrame, mask_factory: Callable[[], Callable[[pa.RecordB
         for batch in batches:
             yield batch.filter(pa.array(mask(batch), type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"edgetide_{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
