@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgetide.llm.arrow import filter_rows, pick, place
+from edgetide.llm.arrow import filter_rows, least_hashed, pick, place
 from edgetide.llm.linear import logistic
 from edgetide.llm.quality_rules import features, statistics
 from edgetide.session import bound_arrow, checkpoint, ship
@@ -294,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 6000, rounds: int = 4,
     """Co-train on at most `bound` labelled rows and all unlabelled ones. `rows` are docs as `featured`, where they are at hand."""
     rows = featured(docs) if rows is None else rows
     known = pick(labels, doc_id=("doc_id", "long"), label=("quality", "int")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = known.where(f"not {HELD_OUT}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    chosen = least_hashed(known.where(f"not {HELD_OUT}"), "doc_id", bound)
     sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", "content", "metadata")).alias("r")).orderBy("doc_id").select("doc_id", "r.*").collect()
     x = [np.array([r[v] for r in sample], dtype=np.float64) for v in ("content", "metadata")]
     y = np.array([r.label for r in sample], dtype=float)

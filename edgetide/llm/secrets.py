@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm.arrow import id_and_text, pick, place
+from edgetide.llm.arrow import id_and_text, least_hashed, pick, place
 from edgetide.session import checkpoint
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, bound: int = 4000, strings: int = 4000, found: float =
     words, random = vocabulary(docs), random_strings(spark, strings)
     log = [np.log((c + 1.0) / (c + 1.0).sum(axis=1, keepdims=True)) for c in (transitions(random), ordinary(words))]
     model = Model((log[0] - log[1]).reshape(-1), 0.0)
-    some = [r.word for r in words.where("length(word) between 3 and 20").orderBy(F.xxhash64("word"), "word").limit(bound).collect()]
+    some = [r.word for r in least_hashed(words.where("length(word) between 3 and 20"), "word", bound).collect()]
     no = np.array([0.0, *map(model.ratio, sample_identifiers(some))])
     yes = np.array([model.ratio(r.word) for r in random.limit(strings).select(F.substring("word", 1, LEAST).alias("word")).collect()])
     model.threshold = max(float(np.quantile(yes, 1 - found)), float(np.quantile(no, 1 - most_false)))

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgetide.llm.arrow import filter_rows, id_and_text, map_batches, pick, place, texts
+from edgetide.llm.arrow import filter_rows, id_and_text, least_hashed, map_batches, pick, place, texts
 from edgetide.llm.linear import logistic
 from edgetide.session import bound_arrow, checkpoint, ship
 
@@ -265,7 +265,7 @@ def learnable(labels: DataFrame, bound: int) -> DataFrame:
     """Ids and labels to learn from: at most `bound` of each label, those of least hash, none of the held-out ids."""
     known = pick(labels, doc_id=("doc_id", "long"), label=("toxic", "int")).where("doc_id is not null and label in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    first = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    first = lambda y: least_hashed(known.where(F.col("label") == y), "doc_id", bound)
     return first(1).unionAll(first(0))
 
 

@@ -50,3 +50,13 @@ def test_stages(spark, tmp_path, stage):
     sf = folder(spark, tmp_path, df, labels)
     a, b = stage(spark, df, sf), stage(spark, doubled(df), sf)
     assert a.count() == b.count() and (len(b.columns) == len(a.columns) + 4 or "sequence_id" in b.columns)
+
+
+def test_least_hashed_is_the_sorted_start(spark):
+    from edgetide.llm.arrow import least_hashed
+
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    plain = [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()]
+    for bound in (0, 1, 40):
+        assert [r.doc_id for r in least_hashed(rows, "doc_id", bound).collect()] == plain[:bound]
+    assert least_hashed(rows.limit(0), "doc_id", 40).count() == 0 and least_hashed(rows, "doc_id", 9999).count() == 5000
