@@ -77,10 +77,12 @@ def analyze(spark: SparkSession, source: DataFrame | str, *, print_freq: int = 1
     else:
         relation = checkpoint(arrivals(steps))
         series, plugins = R.append_stats(relation, points, print_freq), APPEND
+    if not updates and "bfs" in metrics:
+        params["distances"] = checkpoint(R.append_bfs(relation, src))  # the series and the histogram both read it
     for name in metrics:
         if m := plugins.get(name):
             series = series.join(m.of(relation, points, print_freq, n, params).select("k", *m.columns), "k")
-    return AnalysisResult(series.drop("k"), _snapshots(steps, relation, updates, static_algorithm_count, n, params), None if updates or "bfs" not in metrics else R.bfs_update_hist(R.append_bfs(relation, src), relation))
+    return AnalysisResult(series.drop("k"), _snapshots(steps, relation, updates, static_algorithm_count, n, params), R.bfs_update_hist(params["distances"], relation) if "distances" in params else None)
 
 
 def _snapshots(steps: DataFrame, relation: DataFrame, updates: bool, count: int, n: int, params: dict) -> DataFrame | None:

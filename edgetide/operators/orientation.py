@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +18,9 @@ def edge_orientation(steps: DataFrame, n: int, print_freq: int) -> DataFrame:
     A new edge points from its source. Then up to floor(log2 n) edges are
     turned, each the oldest one out of the vertex with the most (of equal ones
     the largest id). The outcome depends on the order of all rows, so one task
-    replays the distinct arrivals; use `degeneracy_orientation` at scale.
+    replays the distinct arrivals, as a stream of sorted batches: it holds the
+    graph's edges, some 200 bytes each, but not the rows. Use
+    `degeneracy_orientation` at scale.
     """
     ship(steps.sparkSession)
     flips_a_row = max(0, n.bit_length() - 1)
@@ -29,7 +30,7 @@ def edge_orientation(steps: DataFrame, n: int, print_freq: int) -> DataFrame:
         out: dict[int, dict[int, None]] = {}
         heap: list[tuple[int, int]] = []
         flips = 0
-        rows = pd.concat([b for b in batches])[["step", "src", "dst"]].sort_values("step")
+        rows = (row for b in batches for row in b[["step", "src", "dst"]].itertuples(index=False))
 
         def push(v: int) -> None:
             if out[v]:
@@ -44,10 +45,10 @@ def edge_orientation(steps: DataFrame, n: int, print_freq: int) -> DataFrame:
             return None
 
         made = []
-        queue = deque(rows.itertuples(index=False))
+        now = next(rows, None)
         for at in range(0, last, print_freq):  # reports after rows 0, print_freq, ...
-            while queue and queue[0][0] - 1 <= at:
-                _, u, v = queue.popleft()
+            while now is not None and now[0] - 1 <= at:
+                (_, u, v), now = now, next(rows, None)
                 out.setdefault(u, {})
                 out.setdefault(v, {})
                 if v in out[u] or u in out[v]:
@@ -69,7 +70,7 @@ def edge_orientation(steps: DataFrame, n: int, print_freq: int) -> DataFrame:
         yield pd.DataFrame(made, columns=["timestep", "total_flips", "max_out_degree"])
 
     pairs = steps.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.min(F.struct("step", "src", "dst")).alias("m")).select("m.*")
-    return pairs.coalesce(1).mapInPandas(replay, "timestep long, total_flips long, max_out_degree long")
+    return pairs.repartition(1).sortWithinPartitions("step").mapInPandas(replay, "timestep long, total_flips long, max_out_degree long")
 
 
 def degeneracy_orientation(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -126,23 +129,42 @@ def bfs_update_hist(bfs: DataFrame, arrivals: DataFrame) -> DataFrame:
     return arrivals.select("step").join(changed, "step", "left").groupBy(F.coalesce("size", F.lit(0)).alias("size")).agg(F.count("*").alias("count"))
 
 
-def _forest(rows: np.ndarray) -> np.ndarray:
-    """The rows (step, u, v), in the order of step, that join two trees."""
-    parent: dict[int, int] = {}
+class Sets:
+    """Union-find over arrays: dense numbers 0 to n - 1, 16 bytes each."""
+
+    def __init__(self, n: int):
+        self.parent, self.size = array("q", range(n)), array("q", [1]) * n
 
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = p
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent[x]) != x:
+            parent[x] = x = parent[p]
         return x
 
-    keep = []
-    for i, (_, u, v) in enumerate(rows.tolist()):
-        a, b = root(u), root(v)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep.append(i)
-    return rows[keep]
+    def join(self, u: int, v: int) -> int:
+        """The size of the joined set, 0 where both are in one already."""
+        a, b = self.root(u), self.root(v)
+        if a == b:
+            return 0
+        if self.size[a] < self.size[b]:
+            a, b = b, a
+        self.parent[b] = a
+        self.size[a] += self.size[b]
+        return self.size[a]
+
+
+def _dense(rows: np.ndarray) -> tuple[np.ndarray, int]:
+    """Both ends of rows (step, u, v) by dense numbers, and how many there are."""
+    ids, at = np.unique(rows[:, 1:], return_inverse=True)
+    return at.reshape(-1, 2), len(ids)
+
+
+def _forest(rows: np.ndarray) -> np.ndarray:
+    """The rows (step, u, v), in the order of step, that join two trees."""
+    ends, n = _dense(rows)
+    sets = Sets(n)
+    kept = [i for at in range(0, len(ends), 1 << 16) for i, (u, v) in enumerate(ends[at : at + (1 << 16)].tolist(), at) if sets.join(u, v)]
+    return rows[kept]
 
 
 def spanning_forest(arrivals: DataFrame, shrink: int = 8) -> DataFrame:
@@ -151,6 +173,8 @@ def spanning_forest(arrivals: DataFrame, shrink: int = 8) -> DataFrame:
     Each partition keeps the forest of its own edges; partitions then merge by
     `shrink` and are cut again until one is left. A task holds at most `shrink`
     forests, that is, edges in proportion to the vertices, whatever their number.
+    The last one holds one edge a vertex, as three numbers, and 32 bytes a
+    vertex to join them: some 60 bytes a vertex, 9 GB for 150 million.
     """
     ship(arrivals.sparkSession)
 
@@ -173,30 +197,20 @@ def append_components(arrivals: DataFrame, points: DataFrame, print_freq: int) -
     """Components of two or more vertices, and the largest one's size, at each report.
 
     The count is nodes less forest edges. Sizes come from joining the forest's
-    edges in order, in one task over at most one row a vertex.
+    edges in order, in one task over at most one row a vertex (about 60 bytes).
     """
     forest = spanning_forest(arrivals)
     first = endpoints(arrivals).groupBy("w").agg(F.min("step").alias("step"))
 
     def sizes(batches):  # noqa: ANN001, ANN202
-        rows = pd.concat(list(batches)).sort_values("step")
-        parent: dict[int, int] = {}
-        size: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = parent[p]
-                x = p
-            return x
-
-        best, out = 0, []
-        for step, u, v in rows[["step", "u", "v"]].itertuples(index=False):
-            a, b = root(u), root(v)
-            parent[b] = a
-            size[a] = size.get(a, 1) + size.get(b, 1)
-            if size[a] > best:
-                best = size[a]
-                out.append((step, best))
+        held = np.concatenate([np.empty((0, 3), dtype=np.int64), *(x[["step", "u", "v"]].to_numpy(dtype=np.int64) for x in batches)])
+        held = held[np.argsort(held[:, 0])]
+        ends, n = _dense(held)
+        sets, best, out = Sets(n), 0, []
+        for i, (u, v) in enumerate(zip(ends[:, 0], ends[:, 1], strict=True)):
+            if (size := sets.join(u, v)) > best:
+                best = size
+                out.append((int(held[i, 0]), best))
         yield pd.DataFrame(out, columns=["step", "size"])
 
     largest = forest.coalesce(1).mapInPandas(sizes, "step long, size long").groupBy(batch("step", print_freq).alias("k")).agg(F.max("size").alias("value"))
@@ -243,10 +257,37 @@ def snapshot_labels(intervals: DataFrame, points: DataFrame, print_freq: int, n_
 
 
 def dynamic_components(intervals: DataFrame, points: DataFrame, print_freq: int, n_steps: int) -> DataFrame:
-    """Components of two or more vertices, and the largest one's size (1 in an empty graph), at each report."""
-    sizes = snapshot_labels(intervals, points, print_freq, n_steps).groupBy("k", "root").agg(F.count("*").alias("size"))
-    found = sizes.groupBy("k").agg(F.count("*").alias("component_count"), F.max("size").alias("max_component_size"))
-    return points.join(found, "k", "left").select("k", F.col("endp").alias("timestep"), F.coalesce("component_count", F.lit(0)).alias("component_count"), F.coalesce("max_component_size", F.lit(1)).alias("max_component_size"))
+    """Components of two or more vertices, and the largest one's size (1 in an empty graph), at each report.
+
+    Reports are dealt to about the root of their number of blocks. An edge that
+    lives through a whole block is one row there, and the block's graph is
+    contracted once; only where an edge lives through part of a block is it a row
+    for each of those reports, between contracted vertices. So an edge makes rows
+    in proportion to the root of the reports it sees, not to their number.
+    """
+    n_points = -(-n_steps // print_freq)
+    width = max(1, math.isqrt(max(n_points, 1)))
+    blocks = -(-n_points // width)
+    alive = _alive_batches(intervals, print_freq, n_points, n_steps).where("k0 < k1").select("u", "v", "k0", F.when(F.col("k1") > n_points, F.lit(blocks * width + 1)).otherwise(F.col("k1")).alias("k1"))
+    # Block b holds reports b * width + 1 to (b + 1) * width; [b0, b1) are the blocks lived through.
+    alive = checkpoint(alive.withColumns({"b0": F.expr(f"(k0 + {width - 2}) div {width}"), "b1": F.expr(f"(k1 - 1) div {width}")}))
+    whole = alive.where("b0 < b1").select("u", "v", F.expr("explode(sequence(b0, b1 - 1))").alias("b"))
+    inside = F.expr(f"case when b0 >= b1 then array(struct(k0 as p, k1 as q)) else array(struct(k0 as p, b0 * {width} + 1 as q), struct(b1 * {width} + 1 as p, k1 as q)) end")
+    parts = alive.select("u", "v", F.explode(inside).alias("r")).where("r.p < r.q").select("u", "v", F.expr("explode(sequence(r.p, r.q - 1))").alias("k")).where(F.col("k") <= n_points).withColumn("b", F.expr(f"(k - 1) div {width}"))
+    pair = lambda key, c: F.struct(F.col(key), F.col(c).alias("id"))
+    labels = checkpoint(connected_components(whole.select(pair("b", "u").alias("u"), pair("b", "v").alias("v"))).select("node.b", F.col("node.id").alias("id"), F.col("root.id").alias("root")))
+    sizes = checkpoint(labels.groupBy("b", "root").agg(F.count("*").alias("size")))
+    for c in ("u", "v"):
+        own = labels.select("b", F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+        parts = parts.join(own, ["b", c], "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
+    merged = connected_components(parts.select(pair("k", "u").alias("u"), pair("k", "v").alias("v"))).select("node.k", F.col("node.id").alias("id"), F.col("root.id").alias("root"))
+    weighed = merged.withColumn("b", F.expr(f"(k - 1) div {width}")).join(sizes.select("b", F.col("root").alias("id"), "size"), ["b", "id"], "left")
+    joined = weighed.groupBy("k", "root").agg(F.sum(F.coalesce("size", F.lit(1))).alias("size"), F.count("size").alias("taken"))
+    by_report = joined.groupBy("k").agg(F.count("*").alias("made"), F.sum("taken").alias("taken"), F.max("size").alias("largest"))
+    by_block = sizes.groupBy("b").agg(F.count("*").alias("held"), F.max("size").alias("most"))
+    out = points.withColumn("b", F.expr(f"(k - 1) div {width}")).join(by_block, "b", "left").join(by_report, "k", "left")
+    count = F.coalesce("held", F.lit(0)) - F.coalesce("taken", F.lit(0)) + F.coalesce("made", F.lit(0))
+    return out.select("k", F.col("endp").alias("timestep"), count.alias("component_count"), F.coalesce(F.greatest("most", "largest"), F.lit(1)).alias("max_component_size"))
 
 
 def next_report(times: DataFrame, points: DataFrame, last: int, blocks: int = 4096) -> DataFrame:

@@ -29,7 +29,8 @@ class SnapshotMetric:
 
 
 def _bfs(arrivals: DataFrame, points: DataFrame, pf: int, n: int, params: dict) -> DataFrame:
-    return R.bfs_max_distance(R.append_bfs(arrivals, params.get("src", 1)), points, pf, -(-n // pf))
+    found = params.get("distances")
+    return R.bfs_max_distance(R.append_bfs(arrivals, params.get("src", 1)) if found is None else found, points, pf, -(-n // pf))
 
 
 APPEND: dict[str, DeltaMetric] = {

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-import shutil
+import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from edgetide.model import CODES, HEADER_BYTES, TYPES, Header
 from edgetide.sources.paths import file_size, local, read_bytes, shared_path
-from edgetide.session import ship
+from edgetide.session import checkpoint, ship
 
 ROWS_A_PARTITION = 4_000_000
 ROWS_A_BATCH = 65_536
@@ -75,9 +76,9 @@ class PackedSource(DataSource):
         return PackedWriter(schema, dict(self.options))
 
 
-class Part(WriterCommitMessage):
-    def __init__(self, at: int, path: str):
-        self.at, self.path = at, path
+class Done(WriterCommitMessage):
+    def __init__(self, rows: int):
+        self.rows = rows
 
 
 def packed_rows(batch: pa.RecordBatch, fields: list[tuple[str, str]]) -> np.ndarray:
@@ -95,35 +96,38 @@ def packed_rows(batch: pa.RecordBatch, fields: list[tuple[str, str]]) -> np.ndar
 
 
 class PackedWriter(DataSourceArrowWriter):
-    """Each task writes its Arrow batches as one file; the parts are joined in order once all are there. The folder must be a shared mount."""
+    """Rows have one width, so each task writes its own stretch of the one file; a task that runs again writes the same bytes.
+
+    `starts` are the partitions' first rows, then the number of all rows. The
+    file must be on a mount that all machines share; it bears another name until
+    all of it is there.
+    """
 
     def __init__(self, schema, options: dict):  # noqa: ANN001
-        self.options = options
         self.fields = [tuple(f.split(":")) for f in options["fields"].split(",")]
+        self.starts = [int(x) for x in options["starts"].split(",")]
+        self.head = bytes.fromhex(options["head"])
+        self.target, self.path = local(options["path"]), f"{local(options['path'])}.{options['run']}"
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Done:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        folder = local(self.options["path"]) + ".parts"
-        os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}"
-        with open(path, "wb") as f:
+        k, width, rows = TaskContext.get().partitionId(), np.dtype(self.fields).itemsize, 0
+        with open(self.path, "r+b") as f:
+            f.seek(len(self.head) + self.starts[k] * width)
             for batch in iterator:
                 f.write(packed_rows(batch, self.fields).tobytes())
-        return Part(context.partitionId(), path)
+                rows += batch.num_rows
+        if self.starts[k] + rows != self.starts[k + 1]:
+            raise ValueError(f"partition {k} has {rows} rows, not {self.starts[k + 1] - self.starts[k]}")
+        return Done(rows)
 
-    def commit(self, messages: list[Part]) -> None:
-        target = local(self.options["path"])
-        with open(target, "wb") as out:
-            out.write(bytes.fromhex(self.options["head"]))
-            for m in sorted((m for m in messages if m), key=lambda m: m.at):
-                with open(m.path, "rb") as part:
-                    shutil.copyfileobj(part, out, 1 << 20)
-        shutil.rmtree(target + ".parts", ignore_errors=True)
+    def commit(self, messages: list[Done]) -> None:
+        os.replace(self.path, self.target)
 
     def abort(self, messages: list) -> None:
-        shutil.rmtree(local(self.options["path"]) + ".parts", ignore_errors=True)
+        if os.path.exists(self.path):
+            os.remove(self.path)
 
 
 def _fields(fields: list[tuple[str, str]]) -> str:
@@ -180,8 +184,25 @@ def write_legacy(df: DataFrame, path: str, layout: str, order: list[str]) -> Non
 def _save(df: DataFrame, path: str, fields: list[tuple[str, str]], head: bytes, order: list[str]) -> None:
     ship(df.sparkSession)
     df.sparkSession.dataSource.register(PackedSource)
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*(n for n, _ in fields))
-    rows.write.format("edgetide_packed").option("fields", _fields(fields)).option("head", head.hex()).mode("append").save(path)
+    rows = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).select(*(n for n, _ in fields)))
+    # One number a partition; a checkpoint is read by the partitions that wrote it.
+    counts = {r.k: r.n for r in rows.groupBy(F.spark_partition_id().alias("k")).agg(F.count("*").alias("n")).collect()}
+    starts = [0, *accumulate(counts.get(k, 0) for k in range(max(1, rows.rdd.getNumPartitions())))]  # an empty frame is written by one task
+    run = uuid.uuid4().hex[:12]
+    with open(f"{local(path)}.{run}", "wb") as f:
+        f.write(head)
+        f.truncate(len(head) + starts[-1] * np.dtype(fields).itemsize)
+    options = {"fields": _fields(fields), "head": head.hex(), "starts": ",".join(map(str, starts)), "run": run}
+    rows.write.format("edgetide_packed").options(**options).mode("append").save(path)
+
+
+def counted(df: DataFrame) -> tuple[int, int, int]:
+    """Vertices, directed pairs and rows, by one aggregation."""
+    none = F.lit(None).cast(df.schema["dst"].dataType)
+    kinds = F.struct(F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")), *(F.struct(F.lit(0).alias("kind"), F.col(c).alias("a"), none.alias("b")) for c in ("src", "dst"))
+    each = df.select(F.explode(F.array(*kinds)).alias("x")).groupBy("x.kind", "x.a", "x.b").agg(F.count("*").alias("n"))
+    found = {r.kind: (r.n, r.rows) for r in each.groupBy("kind").agg(F.count("*").alias("n"), F.sum("n").alias("rows")).collect()}
+    return found.get(0, (0, 0))[0], *found.get(1, (0, 0))
 
 
 def write_bin(df: DataFrame, path: str, *, directed: bool = True, signal: bool | None = None, vertex_id_type: str = "uint32", timestamp_type: str = "uint32", weight_type: str = "none", order: list[str] | None = None) -> Header:
@@ -193,9 +214,8 @@ def write_bin(df: DataFrame, path: str, *, directed: bool = True, signal: bool |
             raise ValueError(f"a {c} of type {kind} is asked for, but there is no column {c}")
     if not signal and "op" not in df.columns:
         raise ValueError("an update log needs a column op")
-    ends = df.select(F.explode(F.array("src", "dst")).alias("v")).distinct().count()
-    edges = df.select("src", "dst").distinct().count()
-    head = Header(ends, edges, df.count(), signal, CODES[vertex_id_type], CODES[timestamp_type], directed, CODES[weight_type])
+    ends, edges, rows = counted(df)
+    head = Header(ends, edges, rows, signal, CODES[vertex_id_type], CODES[timestamp_type], directed, CODES[weight_type])
     if TYPES[head.vertex_id_type][1] == 0:
         raise ValueError("vertex ids need a type")
     _save(df, path, head.fields(), head.pack(), order or [c for c in ("ts", "src", "dst") if c in df.columns])

@@ -275,3 +275,40 @@ def test_rounds_that_do_not_settle_raise(spark):
     for run in (lambda: static.static_bfs(path, 0, 3), lambda: static.coreness(path, 2), lambda: R.append_bfs(path, 0, 3)):
         with pytest.raises(RuntimeError, match="did not settle"):
             run()
+
+
+@pytest.mark.parametrize("print_freq", [1, 3, 7, 50, 1000])
+def test_components_by_blocks_of_reports(spark, print_freq):
+    """Counts and largest sizes against a search of each report's graph; lives of all lengths, also to the end."""
+    rnd = random.Random(print_freq)
+    n = 200
+    rows = []
+    for _ in range(90):
+        u, v = rnd.sample(range(30), 2)
+        s0 = rnd.randrange(1, n + 1)
+        e0 = rnd.choice([None, min(n + 1, s0 + rnd.choice([1, 2, 5, 40, 150]))])
+        rows.append((min(u, v), max(u, v), s0, e0))
+    rows = list({(u, v): (u, v, s, e) for u, v, s, e in rows}.values())
+    iv = spark.createDataFrame(rows, "u long, v long, s0 long, e0 long")
+    points = spark.createDataFrame([(k + 1, min((k + 1) * print_freq, n)) for k in range(-(-n // print_freq))], "k long, endp long")
+    got = {r.timestep: (r.component_count, r.max_component_size) for r in R.dynamic_components(iv, points, print_freq, n).collect()}
+    for (k, endp) in [tuple(r) for r in points.collect()]:
+        edges = [(u, v) for u, v, s, e in rows if s <= endp and (e is None or e > endp)]
+        groups: list[set] = []
+        for u, v in edges:
+            hit = [g for g in groups if u in g or v in g]
+            groups = [g for g in groups if g not in hit] + [set().union({u, v}, *hit)]
+        assert got[endp] == (len(groups), max(map(len, groups), default=1)), k
+
+
+def test_one_search_for_series_and_histogram(spark, monkeypatch):
+    """`analyze` finds the distances once."""
+    from edgetide import api
+
+    calls = []
+    plain = R.append_bfs
+    monkeypatch.setattr(R, "append_bfs", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    log = spark.createDataFrame([(1, 2, 10), (2, 3, 20), (3, 1, 30), (4, 5, 40)], "src long, dst long, ts long")
+    result = api.analyze(spark, log, print_freq=2)
+    assert [r.max_distance_from_src for r in result.dynamic.orderBy("timestep").collect()] == [2, 1]
+    assert result.bfs_hist.count() > 0 and len(calls) == 1

@@ -191,3 +191,20 @@ def test_streams_over_several_files(spark, tmp_path):
 def test_haversine(spark):
     r = spark.range(1).select(scalars.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("r")).first().r
     assert abs(r - 3.141592653589793 * 6_378_100) < 1
+
+
+def test_packed_stretches_are_whole(spark, tmp_path):
+    """Many partitions write one file; nothing else stays in its folder, and a broken row leaves no file."""
+    from edgetide.sources.packed import read_bin, write_bin
+
+    rows = [(i % 17, (i * 7) % 23, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "src long, dst long, ts long").repartition(13)
+    path = f"{tmp_path}/log.bin"
+    head = write_bin(df, path, signal=True)
+    assert (head.total_updates, head.num_vertices, head.num_unique_edges) == (5000, 23, len({r[:2] for r in rows}))
+    assert [tuple(r) for r in read_bin(spark, path).orderBy("row").select("src", "dst", "ts").collect()] == sorted(rows, key=lambda r: (r[2], r[0], r[1]))
+    assert [p.name for p in tmp_path.iterdir()] == ["log.bin"]
+    broken = df.unionAll(spark.createDataFrame([(1 << 40, 0, 1)], df.schema))
+    with pytest.raises(Exception, match="exceeds the range"):
+        write_bin(broken, f"{tmp_path}/other.bin", signal=True)
+    assert [p.name for p in tmp_path.iterdir()] == ["log.bin"]
