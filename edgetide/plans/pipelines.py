@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from edgetide.functions.roads import access, accessible
 from edgetide.functions.scalars import haversine, hex_to_int, in_namespace, parse_git_date, parse_iso_z, parse_ymdhm, seconds_since, wiki_links
+from edgetide.operators.aggregates import node_uses
 from edgetide.operators.dictionary import encode
 from edgetide.operators.steps import assign_step
 
@@ -186,17 +187,68 @@ def merge_intersections(edges: DataFrame, uses: DataFrame) -> DataFrame:
         now = checkpoint(now.withColumn("e", F.xxhash64("u", "v", "props", "length")).join(gone, "e", "left_anti").drop("e").unionByName(wins.drop("gone")))
 
 
-def history(ways: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(u, v, ts, op): the segments that each version of a way adds or removes, while their pair's number of users goes from or to none."""
+def final_ways(ways: DataFrame) -> DataFrame:
+    """(id, nodes, access) of each way's last version, if it is visible, accessible and has two nodes."""
+    last = ways.groupBy("id").agg(F.max_by(F.struct(*(c for c in ways.columns if c != "id")), "version").alias("w")).select("id", "w.*")
+    known = last.where("visible").withColumn("access", access(F.map_entries("tags")))
+    return known.where(accessible(F.col("access")) & (F.size("nodes") > 1)).select("id", "nodes", "access")
+
+
+def crossings(ways: DataFrame, merge: bool = False) -> DataFrame:
+    """(node): where the final ways are cut; with `merge`, without nodes that two edges of equal access meet at alone."""
+    kept = final_ways(ways)
+    uses = node_uses(kept)
+    cuts = uses.select("node")
+    if not merge:
+        return cuts
+    pieces = segment_split(kept, cuts).join(kept.select("id", F.col("access").cast("string").alias("props")), "id")
+    edges = pieces.select(F.element_at("nodes", 1).alias("u"), F.element_at("nodes", -1).alias("v"), "props", F.col("segment").cast("double").alias("length"))
+    return merge_intersections(edges, uses).select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
+def history(ways: DataFrame, cuts: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(u, v, ts, op): the segments that each version of a way adds or removes, while their pair's number of users goes from or to none.
+
+    With `nodes` (id, lat, lon) an insertion has a weight, the length of the
+    version's shortest path between the two, and a deletion a weight of 0;
+    paths that hold a node without a place are left out.
+    """
     open_ = ways.withColumn("path", F.when(F.col("visible") & accessible(access(F.map_entries("tags"))), F.col("nodes")).otherwise(F.array().cast("array<long>")))
     versions = open_.withColumn("key", F.struct("id", "version"))
-    cut = segment_split(versions.select("key", F.col("path").alias("nodes")), cuts, "key").select("key", F.struct(F.least(F.element_at("nodes", 1), F.element_at("nodes", -1)).alias("u"), F.greatest(F.element_at("nodes", 1), F.element_at("nodes", -1)).alias("v")).alias("s"))
-    counted = cut.groupBy("key", "s").agg(F.count("*").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("now"))
-    empty = F.expr("cast(map() as map<struct<u:bigint,v:bigint>,bigint>)")
-    seen = versions.join(counted, "key", "left").select("id", "version", "timestamp", F.coalesce("now", empty).alias("now"))
-    seen = seen.withColumn("old", F.coalesce(F.lag("now").over(W.partitionBy("id").orderBy("version")), empty))
-    keys = F.array_union(F.map_keys("now"), F.map_keys("old"))
-    diff = seen.select("id", "version", "timestamp", "now", "old", F.explode(keys).alias("s")).select("id", "version", "timestamp", "s.u", "s.v", (F.coalesce(F.element_at("now", F.col("s")), F.lit(0)) - F.coalesce(F.element_at("old", F.col("s")), F.lit(0))).alias("by")).where("by <> 0")
+    pieces = segment_split(versions.select("key", F.col("path").alias("nodes")), cuts, "key").withColumn("piece", F.struct("key", "segment"))
+    pieces = pieces.join(path_length(pieces.select("piece", "nodes"), nodes, "piece"), "piece") if nodes is not None else pieces.withColumn("length", F.lit(1.0))
+    cut = pieces.select("key", F.struct(F.least(F.element_at("nodes", 1), F.element_at("nodes", -1)).alias("u"), F.greatest(F.element_at("nodes", 1), F.element_at("nodes", -1)).alias("v")).alias("s"), "length")
+    # Versions that have a segment, each with its count there and the counts of all versions around it: no maps of a whole way.
+    counted = cut.groupBy("key", "s").agg(F.count("*").alias("n"), F.min("length").alias("length"))
+    turns = versions.select("id", "version", "timestamp", "key")
+    after = turns.withColumn("next", F.lead(F.struct("version", "timestamp")).over(W.partitionBy("id").orderBy("version")))
+    lives = counted.join(after, "key")
+    comes = lives.select("id", "version", "timestamp", "s.u", "s.v", F.col("n").alias("by"), "length")
+    goes = lives.where("next is not null").select("id", F.col("next.version").alias("version"), F.col("next.timestamp").alias("timestamp"), "s.u", "s.v", (-F.col("n")).alias("by"), F.lit(None).cast("double").alias("length"))
+    diff = comes.unionByName(goes).groupBy("id", "version", "timestamp", "u", "v").agg(F.sum("by").alias("by"), F.min("length").alias("length")).where("by <> 0")
     w = W.partitionBy("u", "v").orderBy("timestamp", "id", "version")
     users = diff.withColumn("users", F.sum("by").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("was", F.col("users") - F.col("by"))
-    return users.where("(was = 0) <> (users = 0)").select("u", "v", F.col("timestamp").alias("ts"), F.when(F.col("users") > 0, 0).otherwise(1).cast("byte").alias("op"))
+    weight = [] if nodes is None else [F.when(F.col("users") > 0, F.col("length")).otherwise(0.0).alias("weight")]
+    return users.where("(was = 0) <> (users = 0)").select("u", "v", F.col("timestamp").alias("ts"), F.when(F.col("users") > 0, 0).otherwise(1).cast("byte").alias("op"), *weight)
+
+
+def osm_history(nodes: DataFrame, ways: DataFrame, weighted: bool = False, merge: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A road network's log (src, dst, ts, op[, weight]) over all versions of its ways, vertices numbered by first appearance; and the dictionary."""
+    found = history(ways, crossings(ways, merge), nodes if weighted else None)
+    rows = assign_step(found, ("ts", "u", "v", "op"), "row").withColumnsRenamed({"u": "src", "v": "dst"})
+    return encode(rows, "first_seen_interleaved")
+
+
+def osm_static(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points (k, id, lon, lat) numbered by id, weighted pairs (u, v, w) by number, and the ratios of straight distance to length.
+
+    `edges` are (source, target, length); an end without a place is an error.
+    """
+    points = assign_step(nodes.select("id", "lon", "lat"), ("id",), "n").select((F.col("n") - 1).alias("k"), "id", "lon", "lat")
+    end = lambda c, n: points.select(F.col("id").alias(c), F.col("k").alias(n), F.struct("lat", "lon").alias(f"{n}_at"))
+    placed = edges.select("source", "target", "length").join(end("source", "u"), "source", "left").join(end("target", "v"), "target", "left")
+    told = lambda c: F.coalesce(c, F.raise_error(F.lit("an edge's end has no place")).cast("long")).alias(c)
+    pairs = placed.select(told("u"), told("v"), F.col("length").alias("w"), "u_at", "v_at")
+    ratio = haversine(F.col("u_at.lat"), F.col("u_at.lon"), F.col("v_at.lat"), F.col("v_at.lon"), 6_371_007.181) / F.col("w")
+    ratios = pairs.select(F.when(F.col("w") != 0, ratio).alias("r")).agg(F.min("r").alias("least"), F.max("r").alias("most"), F.avg("r").alias("mean"))
+    return points, pairs.select("u", "v", "w"), ratios

@@ -461,9 +461,67 @@ def src_osm_csv(spark: Sp, d: str) -> Df:
     return found.join(edges, found["id"] == edges["source"]).agg(F.count("*").alias("n"), F.sum("source").alias("total"))
 
 
+RADIUS = "6371007.181"
+
+
+@query(f"""with p as (select s_suppkey as id, row_number() over (order by s_suppkey) - 1 as k, (s_suppkey % 170)::double as lon, (s_suppkey % 90)::double as lat from supplier),
+    x as (select a.k as u, b.k as v, 1e9 + l_orderkey as w, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2 as h
+        from (select l_suppkey as s, l_partkey % 7 + 1 as t, max(l_orderkey) as l_orderkey from lineitem group by 1, 2) join p a on a.id = s join p b on b.id = t)
+    select 'pairs' as part, count(*) as n, sum(u * 31 + v)::bigint as total from x union all select 'points', count(*), sum(k * id)::bigint from p
+    union all select 'lines', (select 3 + 2 * count(*) from x) + (select count(*) from p) + 1 + (select count(*) from p), (select sum(v) from x)::bigint
+    union all select 'ratio', count(*), round(max(2 * {RADIUS} * atan2(sqrt(h), sqrt(1.0 - h)) / w) * 1e6)::bigint from x""")
+def pipeline_osm_static(spark: Sp, d: str) -> Df:
+    """Nodes and edges as CSV to a point file and a weighted adjacency, read back as lines."""
+    folder = shared_path(spark, "osmstatic")
+    _roads(spark, d)[0].select("id", "lon", "lat").write.csv(f"{folder}/nodes.csv", header=True)
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 7 + 1).alias("target")).agg(F.max("l_orderkey").alias("o"))
+    lines.select(F.col("o").cast("string").alias("id"), "source", "target", (F.col("o") + 1e9).alias("length")).write.csv(f"{folder}/edges.csv", header=True)
+    points, pairs, ratios = P.osm_static(*raw.read_osm_csv(spark, folder))
+    points, pairs = checkpoint(points), checkpoint(pairs)
+    n = points.count()
+    text.write_points(points, f"{folder}/coords")
+    text.write_weighted_adj(pairs, f"{folder}/graph", n)
+    part = lambda name, df, total: df.agg(F.count("*").alias("n"), total.cast("long").alias("total")).select(F.lit(name).alias("part"), "n", "total")
+    written = spark.read.text([f"{folder}/coords", f"{folder}/graph"])
+    out = part("pairs", pairs, F.sum(F.col("u") * 31 + F.col("v"))).unionAll(part("points", points, F.sum(F.col("k") * F.col("id"))))
+    out = out.unionAll(part("lines", written, F.lit(0)).select("part", "n", F.lit(pairs.agg(F.sum("v")).first()[0]).alias("total")))
+    return out.unionAll(ratios.select(F.lit("ratio").alias("part"), F.lit(pairs.count()).alias("n"), F.round(F.col("most") * 1e6).cast("long").alias("total")))
+
+
+@query(f"with {LINES}, y as (select no, year, unnest(p) as q from x) select 1 + no as src, q as dst, year as ts, count(*) as n from y where no % 5 <> 0 group by 1, 2, 3")
+def pipeline_semantic_scholar(spark: Sp, d: str) -> Df:
+    """Papers and citations as JSON lines; a paper of every five is unknown."""
+    folder = shared_path(spark, "scholar")
+    papers = _papers(spark, d)
+    papers.where("no % 5 <> 0").select((F.col("no") + 1).alias("corpusid"), "year", F.lit("t").alias("title")).write.json(f"{folder}/papers", compression="gzip")
+    papers.select((F.col("no") + 1).alias("citingcorpusid"), F.explode("p").alias("citedcorpusid")).write.json(f"{folder}/citations", compression="gzip")
+    known = raw.read_jsonl(spark, f"{folder}/papers", "corpusid long, year long").withColumn("row", F.monotonically_increasing_id())
+    return counted(P.semantic_scholar(known, raw.read_jsonl(spark, f"{folder}/citations", "citingcorpusid long, citedcorpusid long")))
+
+
 @query()
+def pipeline_osm_dynamic(spark: Sp, d: str) -> Df:
+    """Weighted, merged and numbered history of the made-up ways; checked against a replay in the tests."""
+    nodes, ways = _roads(spark, d)
+    return P.osm_history(nodes, ways, weighted=True, merge=True)[0].select("src", "dst", "ts", F.col("op").cast("int").alias("op"), F.round("weight", 3).alias("weight"))
+
+
+HISTORY = f"""with {LINES}, t as (select o_custkey as id, no as version, year as ts, lead(no) over w as nv, lead(year) over w as nts from x window w as (partition by o_custkey order by no)),
+    path as (select o_custkey as id, no as version, unnest(s) as node, unnest(range(0, len(s))) as i, len(s) as n from x where no % 7 <> 0),
+    m as (select *, case when node % 3 = 0 and i > 0 and i < n - 1 then 1 else 0 end as cut from path),
+    g as (select *, sum(cut) over (partition by id, version order by i) as seg from m),
+    y as (select id, version, seg, i, node from g union all select id, version, seg - 1, i, node from g where cut = 1),
+    ends as (select id, version, arg_min(node, i) as a, arg_max(node, i) as b from y group by id, version, seg having count(*) > 1),
+    counted as (select id, version, least(a, b) as u, greatest(a, b) as v, count(*) as n from ends group by 1, 2, 3, 4),
+    moves as (select id, version, ts, u, v, n as by_n from counted join t using (id, version) union all select id, nv, nts, u, v, -n from counted join t using (id, version) where nv is not null),
+    diff as (select id, version, ts, u, v, sum(by_n) as by_n from moves group by 1, 2, 3, 4, 5 having sum(by_n) <> 0),
+    users as (select *, sum(by_n) over (partition by u, v order by ts, id, version) as users from diff)
+    select u, v, ts, case when users > 0 then 0 else 1 end as op from users where (users - by_n = 0) <> (users = 0)"""
+
+
+@query(HISTORY)
 def history_extract(spark: Sp, d: str) -> Df:
-    """Road segments over all versions of the ways; checked against a replay in the tests."""
+    """Road segments over all versions of the ways."""
     cuts = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("node"))
     return P.history(_roads(spark, d)[1], cuts).select("u", "v", "ts", F.col("op").cast("int").alias("op"))
 

@@ -80,9 +80,25 @@ def append_cc(spark: Sp, d: str) -> Df:
     return R.append_components(a, points, PF).drop("k")
 
 
-@query()
+#: Components by spreading the least id, round by round; graphs here are a few hops wide.
+LEAST_ROUNDS = 24
+
+
+def least_labels(pairs: str, key: str = "0") -> tuple[str, str]:
+    """Parts that end in `roots` (k, v, r) for the pairs (k, u, v) of a select."""
+    return (
+        f"sym as (select distinct * from (select {key}::bigint as k, u, v from ({pairs}) union all select {key}::bigint, v, u from ({pairs})))",
+        f"spread(i, k, v, r) as (select 0, k, u, u from sym group by k, u union all (select i + 1, k, v, min(r) from (select s.i, s.k, s.v, s.r from spread s where s.i < {LEAST_ROUNDS} union all select s.i, s.k, e.v, s.r from spread s join sym e on e.k = s.k and e.u = s.v where s.i < {LEAST_ROUNDS}) group by 1, 2, 3))",
+        f"roots as (select k, v, r from spread where i = {LEAST_ROUNDS})",
+    )
+
+
+SIZES = "(select count(distinct r) from roots where roots.k = rep.k) as component_count, coalesce((select max(c) from (select count(*) as c from roots where roots.k = rep.k group by r)), {}) as max_component_size"
+
+
+@query(_append_sql("g_trade", "endp as timestep, " + SIZES.format(0), *least_labels("select rep.k, u, v from rep join a on a.step <= rep.endp", "k")))
 def append_cc_trade(spark: Sp, d: str) -> Df:
-    """As append_cc, on the larger graph; checked against a replay in the tests."""
+    """As append_cc, on the larger graph."""
     _, a, points, _ = _append(spark, g_trade(spark, d))
     return R.append_components(a, points, PF).drop("k")
 
@@ -236,9 +252,9 @@ def static_cc(spark: Sp, d: str) -> Df:
     return static.static_cc(_pairs(log), n)
 
 
-@query()
+@query(over("g_part", "select r as root, count(*) as size from roots group by 1", PAIRS, *least_labels("select u, v from p")))
 def component_sizes(spark: Sp, d: str) -> Df:
-    """Of the part graph; checked against a plain search in the tests."""
+    """Of the part graph."""
     return static.component_sizes(_pairs(g_part(spark, d)))
 
 
@@ -283,17 +299,34 @@ def edge_orientation_trade(spark: Sp, d: str) -> Df:
     return edge_orientation(ST.assign_step(log), n, PF)
 
 
-@query()
+@query(over("g_hop", "select case when (x.h, p.u) < (y.h, p.v) then p.u else p.v end as src, case when (x.h, p.u) < (y.h, p.v) then p.v else p.u end as dst from p join last x on x.v = p.u join last y on y.v = p.v", *CORE))
 def orientation_scalable(spark: Sp, d: str) -> Df:
     return degeneracy_orientation(_pairs(g_hop(spark, d)))
 
 
-@query()
+WINDOWED_CC = over("g_hop", f"select endp as timestep, {SIZES.format(1)} from rep", *WINDOWED, *least_labels(f"select rep.k, u, v from rep join iv on {ALIVE}", "k"))
+
+
+@query(f"select * from ({ORACLE_SQL['graph_statistics_remove']}) join ({WINDOWED_CC}) using (timestep)")
 def analyze_windowed(spark: Sp, d: str) -> Df:
     """The public call, with all metrics, on windowed hops."""
     return api.analyze(spark, g_hop(spark, d), print_freq=PF, window_size=WINDOW).dynamic
 
 
+@query(f"select * from ({ORACLE_SQL['graph_statistics']}) join ({ORACLE_SQL['append_cc']}) using (timestep) join ({ORACLE_SQL['append_bfs']}) using (timestep)")
+def analyze_append(spark: Sp, d: str) -> Df:
+    """The public call, with all metrics, on hops that stay."""
+    return api.analyze(spark, g_hop(spark, d), print_freq=PF).dynamic
+
+
+@query(f"select window_size::bigint as window_size, timestep, num_edges, new_edges from (select 0 as window_size, timestep, num_edges, new_edges from ({ORACLE_SQL['graph_statistics']}) union all select {WINDOW}, timestep, num_edges, new_edges from ({ORACLE_SQL['graph_statistics_remove']}))")
+def sweep(spark: Sp, d: str) -> Df:
+    """Runs over windows, the true order of times; the shuffled runs have no SQL and are left to the tests."""
+    runs = api.sweep(spark, g_hop(spark, d), windows=(WINDOW,), print_freq=PF, metrics=())
+    rows = [r.dynamic.select(F.lit(w).cast("long").alias("window_size"), "timestep", "num_edges", "new_edges") for (shuffled, w), r in runs.items() if not shuffled]
+    return rows[0].unionAll(rows[1])
+
+
 @query(over("g_hop", "select e.rep_k as timestep, e.run, e.value from (select endp as rep_k, 'hop' as run, (select count(*) from a where step <= endp)::double as value from rep union all select endp, 'again', (select count(*) from a where step <= endp)::double from rep) e", S, ARRIVALS, reports_sql(PF)))
 def compare_runs(spark: Sp, d: str) -> Df:
     _, a, points, _ = _append(spark, g_hop(spark, d))

@@ -158,3 +158,10 @@ def write_weighted_adj(pairs: DataFrame, path: str, n: int) -> None:
     head = spark.createDataFrame([(0, 0, 0, "WeightedAdjacencyGraph"), (0, 1, 0, str(n)), (0, 2, 0, str(pairs.count()))], "part int, a long, b long, value string")
     cells = lambda part, c: pairs.select(F.lit(part).alias("part"), F.col("u").alias("a"), F.col("v").alias("b"), F.col(c).cast("string").alias("value"))
     head.unionAll(offsets).unionAll(cells(2, "v")).unionAll(cells(3, "w")).repartitionByRange("part", "a", "b").sortWithinPartitions("part", "a", "b").select("value").write.text(path)
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """pbbs_sequencePoint2d lines: `lon lat` of each point in the order of k."""
+    head = points.sparkSession.createDataFrame([(-1, "pbbs_sequencePoint2d")], "k long, value string")
+    body = points.select("k", F.concat_ws(" ", F.col("lon").cast("string"), F.col("lat").cast("string")).alias("value"))
+    head.unionAll(body).repartitionByRange("k").sortWithinPartitions("k").select("value").write.text(path)

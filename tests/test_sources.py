@@ -208,3 +208,56 @@ def test_packed_stretches_are_whole(spark, tmp_path):
     with pytest.raises(Exception, match="exceeds the range"):
         write_bin(broken, f"{tmp_path}/other.bin", signal=True)
     assert [p.name for p in tmp_path.iterdir()] == ["log.bin"]
+
+
+def great_circle(a, b, radius):
+    import math
+
+    (x, y), (p, q) = a, b
+    h = math.sin(math.radians(p - x) / 2) ** 2 + math.cos(math.radians(x)) * math.cos(math.radians(p)) * math.sin(math.radians(q - y) / 2) ** 2
+    return 2 * radius * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+def test_weighted_history(spark):
+    """An insertion weighs its path's length, a deletion nothing; a path over an unknown node is left out."""
+    t = {"highway": "residential"}
+    at = {1: (0.0, 0.0), 2: (0.0, 1.0), 3: (1.0, 1.0), 4: (2.0, 1.0)}
+    nodes = spark.createDataFrame([(i, *p) for i, p in at.items()], "id long, lat double, lon double")
+    ways = spark.createDataFrame([(1, 1, 10, True, [1, 2, 3], t), (1, 2, 20, True, [1, 3], t), (2, 1, 15, True, [3, 9, 4], t), (2, 2, 30, True, [3, 4], t)], "id long, version long, timestamp long, visible boolean, nodes array<long>, tags map<string,string>")
+    cuts = spark.createDataFrame([(1,), (3,), (4,)], "node long")
+    got = sorted((r.u, r.v, r.ts, r.op, round(r.weight, 3)) for r in P.history(ways, cuts, nodes).collect())
+    d = lambda *ids: round(sum(great_circle(at[a], at[b], 6_378_100.0) for a, b in zip(ids, ids[1:], strict=False)), 3)
+    # The pair (1, 3) keeps its one user when its way is drawn anew.
+    assert got == [(1, 3, 10, 0, d(1, 2, 3)), (3, 4, 30, 0, d(3, 4))]
+    assert [(r.op, r.weight) for r in P.history(ways.withColumn("visible", F.expr("not (id = 1 and version = 2)")), cuts, nodes).where("v = 3").orderBy("ts").collect()] == [(0, pytest.approx(d(1, 2, 3), abs=1e-2)), (1, 0.0)]
+
+
+@pytest.mark.parametrize("merge", [False, True])
+def test_crossings_and_numbered_history(spark, merge):
+    """Two ways that meet at their ends are one road when merged; vertices are numbered as they appear."""
+    t, u = {"highway": "residential"}, {"highway": "motorway"}
+    ways = spark.createDataFrame([(1, 1, 10, True, [7, 8, 9], t), (2, 1, 20, True, [9, 5], t), (3, 1, 30, True, [5, 4], u), (4, 1, 40, False, [4, 3], t)], "id long, version long, timestamp long, visible boolean, nodes array<long>, tags map<string,string>")
+    nodes = spark.createDataFrame([(i, float(i), 0.0) for i in range(1, 10)], "id long, lat double, lon double")
+    cuts = {r.node for r in P.crossings(ways, merge).collect()}
+    assert cuts == ({7, 5, 4} if merge else {7, 9, 5, 4})
+    log, ids = P.osm_history(nodes, ways, weighted=True, merge=merge)
+    assert {r.key: r.id for r in ids.collect()} == {7: 0, 9: 1, 5: 2, 4: 3}
+    assert [(r.src, r.dst, r.ts, r.op) for r in log.orderBy("ts").collect()] == [(0, 1, 10, 0), (2, 1, 20, 0), (3, 2, 30, 0)]
+    assert all(r.weight > 100_000 for r in log.collect())
+
+
+def test_static_roads(spark, tmp_path):
+    """Points and weighted adjacency as files; an edge to an unknown node is an error."""
+    nodes = spark.createDataFrame([(30, 1.0, 0.0), (10, 0.0, 0.0), (20, 0.5, 0.5)], "id long, lon double, lat double")
+    edges = spark.createDataFrame([(30, 10, 2e5), (10, 20, 1e5), (10, 30, 1.5e5)], "source long, target long, length double")
+    points, pairs, ratios = P.osm_static(nodes, edges)
+    assert sorted(map(tuple, pairs.collect())) == [(0, 1, 1e5), (0, 2, 1.5e5), (2, 0, 2e5)]
+    text.write_points(points, f"{tmp_path}/coords")
+    lines = lambda folder: [x for p in sorted((tmp_path / folder).glob("part*")) for x in p.read_text().split("\n") if x]
+    assert lines("coords") == ["pbbs_sequencePoint2d", "0.0 0.0", "0.5 0.5", "1.0 0.0"]
+    text.write_weighted_adj(pairs, f"{tmp_path}/graph", 3)
+    assert lines("graph") == ["WeightedAdjacencyGraph", "3", "3", "0", "2", "2", "1", "2", "0", "100000.0", "150000.0", "200000.0"]
+    straight = great_circle((0.0, 0.0), (0.0, 1.0), 6_371_007.181)
+    assert ratios.first().most == pytest.approx(max(straight / 1.5e5, great_circle((0.0, 0.0), (0.5, 0.5), 6_371_007.181) / 1e5))
+    with pytest.raises(Exception, match="no place"):
+        P.osm_static(nodes, edges.unionAll(spark.createDataFrame([(10, 99, 1.0)], edges.schema)))[1].collect()
