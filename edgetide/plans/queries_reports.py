@@ -369,3 +369,17 @@ def stream_batch_stats(spark: Sp, d: str) -> Df:
     from edgetide.streaming.incremental import batch_stats
 
     return batch_stats(_stream(spark, d))
+
+
+@query("""with e as (select event_id % 4 as part, user_id::bigint as src, (user_id * 7 % 60)::bigint as dst from events), b(batch) as (values (0::bigint), (1), (2), (3))
+    select batch, (select count(*) from e where part <= batch) as updates, (select count(distinct (least(src, dst), greatest(src, dst))) from e where part <= batch and src <> dst) as num_edges from b""")
+def stream_batch_stats_many(spark: Sp, d: str) -> Df:
+    """Four micro-batches of a graph that isn't bipartite: pairs come back in later batches, in either direction."""
+    from edgetide.sources.paths import shared_path
+    from edgetide.streaming.incremental import batch_stats
+
+    folder = shared_path(spark, "stream-in")
+    rows = table(spark, d, "events").select("event_id", F.col("user_id").cast("long").alias("src"), (F.col("user_id") * 7 % 60).cast("long").alias("dst"))
+    for part in range(4):  # a file a batch, in the order of their times
+        rows.where(F.col("event_id") % 4 == part).select("src", "dst").coalesce(1).write.mode("append").parquet(folder)
+    return batch_stats(spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).parquet(folder))
