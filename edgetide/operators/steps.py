@@ -14,6 +14,10 @@ SIGNAL_ORDER = ("ts", "src", "dst")
 UPDATE_ORDER = ("ts", "op desc", "src", "dst")
 
 
+#: Up to so many partitions, their offsets are literals of an expression.
+FEW_PARTITIONS = 2000
+
+
 def _order(names: tuple[str, ...]) -> list:
     return [F.col(n.split()[0]).desc() if n.endswith(" desc") else F.col(n) for n in names]
 
@@ -33,8 +37,12 @@ def assign_step(log: DataFrame, order: tuple[str, ...] | None = None, name: str
     for p in range(max(sizes, default=-1) + 1):
         offsets.append(total)
         total += sizes.get(p, 0)
-    offset = F.element_at(F.array(*map(lambda x: F.lit(x).cast("long"), offsets or [0])), (F.col("_p") + 1).cast("int"))
-    return at.withColumn(name, offset + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_p")
+    if len(offsets) <= FEW_PARTITIONS:
+        offset = F.element_at(F.array(*(F.lit(x).cast("long") for x in offsets or [0])), (F.col("_p") + 1).cast("int"))
+    else:  # a row a partition, as a table: an expression of so many literals would be large in every task
+        at = at.join(F.broadcast(log.sparkSession.createDataFrame(list(enumerate(offsets)), "_p long, _offset long")), "_p")
+        offset = F.col("_offset")
+    return at.withColumn(name, offset + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).select(*log.columns, name)
 
 
 def sort_by_time(log: DataFrame, order: tuple[str, ...] | None = None) -> DataFrame:

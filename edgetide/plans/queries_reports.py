@@ -9,6 +9,7 @@ from edgetide import api
 from edgetide.operators import reports as R
 from edgetide.operators import static
 from edgetide.operators import steps as ST
+from edgetide.operators.graph import GraphView
 from edgetide.operators.orientation import degeneracy_orientation, edge_orientation
 from edgetide.plans.catalog_tools import ARRIVALS, COLLAPSED, INTERVALS, SU, S, over, registrar, reports_sql, windowed_sql
 from edgetide.plans.derived import g_hop, g_part, g_trade, g_user_k, seconds
@@ -334,6 +335,29 @@ def compare_runs(spark: Sp, d: str) -> Df:
     return api.compare_runs({"hop": stats, "again": stats}, "num_edges")
 
 
+GRAPH_AT = 5000
+AT = f"sym as (select u as v, v as w from a where step <= {GRAPH_AT} union all select v, u from a where step <= {GRAPH_AT})"
+
+
+def _graph(spark: Sp, d: str) -> GraphView:
+    return GraphView.at(ST.arrivals(ST.assign_step(g_hop(spark, d))), GRAPH_AT)
+
+
+@query(over("g_hop", "select v, w, (v * w)::bigint as value from sym where v in (1, 2, 3)", S, ARRIVALS, AT))
+def graph_map_neighbours(spark: Sp, d: str) -> Df:
+    return _graph(spark, d).map_neighbours(F.col("v") * F.col("w"), [1, 2, 3])
+
+
+@query(over("g_hop", "select v, count(*) filter (w > v) as count from sym group by v", S, ARRIVALS, AT))
+def graph_count_neighbours(spark: Sp, d: str) -> Df:
+    return _graph(spark, d).count_neighbours(F.col("w") > F.col("v"))
+
+
+@query(over("g_hop", "select count(*) as num_nodes, (coalesce(sum(n), 0) // 2)::bigint as num_edges, (coalesce(sum(n), 0) // 2)::double / nullif(count(*), 0) as average_degree, coalesce(max(n), 0) as max_degree from (select v, count(*) as n from sym group by v)", S, ARRIVALS, AT))
+def graph_summary(spark: Sp, d: str) -> Df:
+    return _graph(spark, d).summary()
+
+
 # Streams
 
 

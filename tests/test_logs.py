@@ -312,3 +312,27 @@ def test_one_search_for_series_and_histogram(spark, monkeypatch):
     result = api.analyze(spark, log, print_freq=2)
     assert [r.max_distance_from_src for r in result.dynamic.orderBy("timestep").collect()] == [2, 1]
     assert result.bfs_hist.count() > 0 and len(calls) == 1
+
+
+def test_offsets_as_a_table(spark, monkeypatch):
+    """Beyond a bound of partitions their offsets are joined; the order is the same."""
+    rows = spark.range(500).selectExpr("id % 37 as src", "id % 11 as dst", "id * 7 % 101 as ts").repartition(7)
+    plain = sorted(map(tuple, ST.assign_step(rows).collect()))
+    monkeypatch.setattr(ST, "FEW_PARTITIONS", 0)
+    made = ST.assign_step(rows)
+    assert made.columns == ["src", "dst", "ts", "step"] and sorted(map(tuple, made.collect())) == plain
+
+
+def test_graph_view_of_intervals(spark):
+    from pyspark.sql import functions as F
+
+    from edgetide.operators.graph import GraphView
+
+    iv = spark.createDataFrame([(1, 2, 1, None), (2, 3, 2, 6), (1, 3, 7, None)], "u long, v long, s0 long, e0 long")
+    for step, edges in ((1, {(1, 2)}), (5, {(1, 2), (2, 3)}), (6, {(1, 2)}), (9, {(1, 2), (1, 3)})):
+        g = GraphView.at(iv, step)
+        both = {(a, b) for e in edges for a, b in (e, e[::-1])}
+        assert {tuple(r) for r in g.neighbours().collect()} == both and {tuple(r) for r in g.neighbours([2]).collect()} == {x for x in both if x[0] == 2}
+        assert {r.v: r["count"] for r in g.count_neighbours(F.col("w") > 2).collect()} == {v: sum(w > 2 for a, w in both if a == v) for v, _ in both}
+        assert g.summary().first().num_edges == len(edges)
+    assert tuple(GraphView.at(iv, 0).summary().first()) == (0, 0, None, 0)
