@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import lzma
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgetide.operators.steps import assign_step
 from edgetide.plans.running import running
+from edgetide.session import arrow_batches, checkpoint, ship
 from edgetide.sources.text import LINE_ORDER, ordered_lines
 
 PAPER = "id string, year long, venue_id string, authors array<struct<id:string,org_id:string>>, references array<string>"
@@ -15,9 +21,30 @@ WIKI_PAGE = "title string, revision array<struct<timestamp:string,text:string>>"
 ARTICLE = "author array<string>, title string, year string"
 
 
+def xz_lines(spark: SparkSession, path: str | list[str], rows: int = 10_000) -> DataFrame:
+    """(value) of each line of xz files. Spark has no codec for them: a file's packed bytes (2 GB at most) are one task's, unpacked as a stream."""
+    ship(spark)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with lzma.open(pa.BufferReader(content.as_buffer())) as f:
+                    while lines := list(islice(f, rows)):
+                        yield pa.RecordBatch.from_arrays([pa.array([x.rstrip(b"\r\n").decode("utf-8", "replace") for x in lines])], names=["value"])
+
+    with arrow_batches(spark, rows=1):
+        return checkpoint(spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "value string"))
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """JSON lines; gz, bz2 and zst files are read as such."""
-    return spark.read.schema(schema).json(path)
+    """JSON lines; gz, bz2 and zst files are read as such, xz files by `xz_lines`. A line that is no JSON gives nulls."""
+    paths = [path] if isinstance(path, str) else path
+    packed = [p for p in paths if p.endswith(".xz")]
+    plain = [p for p in paths if not p.endswith(".xz")]
+    parts = [spark.read.schema(schema).json(plain)] if plain else []
+    if packed:
+        parts.append(xz_lines(spark, packed).where("trim(value) <> ''").select(F.from_json("value", schema).alias("r")).select("r.*"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def read_xml(spark: SparkSession, path: str | list[str], row_tag: str, schema: str) -> DataFrame:

@@ -261,3 +261,36 @@ def test_static_roads(spark, tmp_path):
     assert ratios.first().most == pytest.approx(max(straight / 1.5e5, great_circle((0.0, 0.0), (0.5, 0.5), 6_371_007.181) / 1e5))
     with pytest.raises(Exception, match="no place"):
         P.osm_static(nodes, edges.unionAll(spark.createDataFrame([(10, 99, 1.0)], edges.schema)))[1].collect()
+
+
+def test_packed_json_lines(spark, tmp_path):
+    """The same lines as gz, bz2, zst and xz, alone and together; broken lines give nulls, empty ones nothing."""
+    import bz2
+    import gzip
+    import lzma
+
+    import zstandard
+
+    lines = "".join(f'{{"author":"a{i}","subreddit":"r{i % 3}","created_utc":{i}}}\n' for i in range(25_000)).encode()
+    want = {(f"a{i}", f"r{i % 3}", i) for i in range(25_000)}
+    paths = []
+    for name, pack in (("gz", gzip.compress), ("bz2", bz2.compress), ("zst", zstandard.compress), ("xz", lzma.compress)):
+        paths.append(f"{tmp_path}/c.json.{name}")
+        (tmp_path / f"c.json.{name}").write_bytes(pack(lines))
+        assert {tuple(r) for r in raw.read_jsonl(spark, paths[-1], raw.COMMENT).collect()} == want
+    assert raw.read_jsonl(spark, paths, raw.COMMENT).count() == 100_000
+    (tmp_path / "odd.json.xz").write_bytes(lzma.compress(b'{"author":"x"}\r\n\nbroken\n{"author":"y"}'))
+    assert [r.author for r in raw.read_jsonl(spark, f"{tmp_path}/odd.json.xz", raw.COMMENT).collect()] == ["x", None, "y"]
+
+
+def test_late_rows(spark, tmp_path):
+    """A row that is older than the watermark when it comes changes no closed span; one within the delay does."""
+    schema = "src long, dst long, ts long"
+    # The watermark that makes a row late is the one that the batch before began with.
+    batches = [[(1, 2, 100), (3, 4, 100)], [(1, 2, 10_000)], [(7, 8, 10_000)], [(1, 2, 105), (3, 4, 9_950)], [(5, 6, 30_000)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = inc.run_to_end(inc.session_windows(stream, 50, "100 seconds"), "append", "src long, dst long, start long, end long, events long")
+    # 105 comes when spans before 9,900 are closed; 9,950 is late by less than the delay.
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 100, 150, 1), (1, 2, 10_000, 10_050, 1), (3, 4, 100, 150, 1), (3, 4, 9_950, 10_000, 1), (7, 8, 10_000, 10_050, 1)]
