@@ -118,11 +118,11 @@ def signal_to_windowed(log: DataFrame, window: int, canonicalize_before_window:
 
 
 def shuffle_signal(log: DataFrame, seed: int) -> DataFrame:
-    """Timestamps drawn anew, uniformly between the second and the last one."""
+    """Timestamps drawn anew, uniformly between the second and the last one. Checkpointed: a draw that is made again after a loss would differ."""
     last = log.agg(F.max("ts").alias("hi"))
     second = log.select("ts").orderBy("ts").limit(2).agg(F.max("ts").alias("lo"))
     drawn = log.crossJoin(F.broadcast(second)).crossJoin(F.broadcast(last))  # single rows
-    return drawn.withColumn("ts", F.floor(F.col("lo") + F.rand(seed) * (F.col("hi") - F.col("lo") + 1)).cast("long")).drop("lo", "hi")
+    return checkpoint(drawn.withColumn("ts", F.floor(F.col("lo") + F.rand(seed) * (F.col("hi") - F.col("lo") + 1)).cast("long")).drop("lo", "hi"))
 
 
 def shuffle_update(log: DataFrame, seed: int) -> DataFrame:

@@ -303,6 +303,23 @@ def pipeline_oag(spark: Sp, d: str) -> Df:
     return out
 
 
+@query(f"with {LINES}, y as ({PAIRS_OF}), k as (select no, unnest(s) as a, year from x), r as (select no, unnest(p) as q, year from x) select log, src, dst, ts, count(*) as n from (select 'coauthor' as log, least(a.a, b.a)::varchar as src, greatest(a.a, b.a)::varchar as dst, k.year as ts from y a join y b on a.no = b.no and a.a < b.a join k on k.no = a.no and k.a = a.a union all select 'reference', no::varchar, q::varchar, year from r union all select 'publication', no::varchar, a::varchar, year from k union all select 'venue', no::varchar, o_custkey::varchar, year from x union all select 'organisation', a::varchar, (a % 7)::varchar, year from k) group by 1, 2, 3, 4")
+def pipeline_oag_rows(spark: Sp, d: str) -> Df:
+    """All five logs, row by row."""
+    path = shared_path(spark, "oagrows")
+    authors = F.transform("s", lambda s: F.struct(s.cast("string").alias("id"), (s % 7).cast("string").alias("org_id")))
+    _papers(spark, d).select(F.col("no").cast("string").alias("id"), "year", F.col("o_custkey").cast("string").alias("venue_id"), authors.alias("authors"), F.transform("p", lambda x: x.cast("string")).alias("references")).write.json(path)
+    logs = P.oag(raw.read_jsonl(spark, path, raw.PAPER))
+    out = None
+    for name in ("coauthor", "reference", "publication", "venue", "organisation"):
+        one = logs[name].select(F.lit(name).alias("log"), "src", "dst", "ts")
+        out = one if out is None else out.unionAll(one)
+    number = lambda f: f(F.col("src").cast("long"), F.col("dst").cast("long")).cast("string")
+    pair = F.col("log") == "coauthor"  # its ends come in the order of the authors' list
+    ends = out.select("log", F.when(pair, number(F.least)).otherwise(F.col("src")).alias("src"), F.when(pair, number(F.greatest)).otherwise(F.col("dst")).alias("dst"), "ts")
+    return ends.groupBy("log", "src", "dst", "ts").agg(F.count("*").alias("n"))
+
+
 @query("select user_id::varchar as author, regexp_extract(props, '\"k\": *([0-9]+)', 1) as subreddit, epoch_us(ts) // 1000000 as created_utc from events")
 def src_jsonl(spark: Sp, d: str) -> Df:
     path = shared_path(spark, "comments")
@@ -341,6 +358,17 @@ def pipeline_dblp(spark: Sp, d: str) -> Df:
     return P.dblp(raw.read_xml(spark, _articles(spark, d), "article", raw.ARTICLE))["coauthor"].groupBy("ts").agg(F.count("*").alias("n"))
 
 
+@query(f"with {LINES}, y as ({PAIRS_OF}) select 'A' || a.a as a, 'A' || b.a as b, a.year as ts, count(*) as n from y a join y b on a.no = b.no and a.a < b.a group by 1, 2, 3")
+def pipeline_dblp_rows(spark: Sp, d: str) -> Df:
+    """Coauthors by name, row by row."""
+    logs = P.dblp(raw.read_xml(spark, _articles(spark, d), "article", raw.ARTICLE))
+    logs = {k: checkpoint(v) for k, v in logs.items() if k in ("coauthor", "authors")}
+    name = lambda c, n: logs["authors"].select(F.col("id").alias(c), F.col("name").alias(n))
+    named = logs["coauthor"].join(name("src", "a"), "src").join(name("dst", "b"), "dst")
+    number = lambda c: F.substring(c, 2, 20).cast("long")
+    return named.select(F.when(number("a") < number("b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(number("a") < number("b"), F.col("b")).otherwise(F.col("a")).alias("b"), "ts").groupBy("a", "b", "ts").agg(F.count("*").alias("n"))
+
+
 def _tagged(spark: Sp, d: str) -> str:
     folder = shared_path(spark, "tagged")
     name = F.array_join(F.transform("s", lambda s: F.concat(F.lit("A"), s.cast("string"))), ";")

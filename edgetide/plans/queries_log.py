@@ -405,6 +405,38 @@ def shuffle_update(spark: Sp, d: str) -> Df:
     return ST.shuffle_update(g_user_k(spark, d), 7)
 
 
+@query(over("g_hop", "select least(10, count(distinct v))::bigint as drawn, true as known from (select src as v from e union all select dst from e)"))
+def random_nodes_drawn(spark: Sp, d: str) -> Df:
+    """What holds of any draw: as many different vertices as asked for, all of them of the graph."""
+    log = g_hop(spark, d)
+    drawn = A.random_nodes(log, 10, 7)
+    vertices_ = A.vertex_union(log).withColumnRenamed("v", "known_v")
+    column = drawn.columns[0]
+    return drawn.join(vertices_, F.col(column) == F.col("known_v"), "left").agg(F.count_distinct(column).alias("drawn"), F.bool_and(F.col("known_v").isNotNull()).alias("known"))
+
+
+@query(over("g_hop", "select src, dst, count(*) as n, true as inside from e group by 1, 2"))
+def shuffle_signal_kept(spark: Sp, d: str) -> Df:
+    """What holds of any draw: every pair keeps its rows, and all times lie between the second and the last one."""
+    log = g_hop(spark, d)
+    low = log.select("ts").orderBy("ts").limit(2).agg(F.max("ts")).first()[0]
+    high = log.agg(F.max("ts")).first()[0]
+    return ST.shuffle_signal(log, 7).groupBy("src", "dst").agg(F.count("*").alias("n"), F.bool_and(F.col("ts").between(low, high)).alias("inside"))
+
+
+@query(over("g_user_k", "select least(src, dst) as src, greatest(src, dst) as dst, count(*) as n, ((count(*) + 1) // 2)::bigint as inserts from e where src <> dst group by 1, 2"))
+def shuffle_update_kept(spark: Sp, d: str) -> Df:
+    """What holds of any draw: every unordered pair keeps its rows, and inserts and deletes take turns from an insert on."""
+    return ST.shuffle_update(g_user_k(spark, d), 7).groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if(F.col("op") == 0).alias("inserts"))
+
+
+@query("select count(distinct user_id) as inputs, count(distinct user_id) as h64, true as h32_in_range from events")
+def hash_spread(spark: Sp, d: str) -> Df:
+    """What holds of a hash: no two of few inputs collide in 64 bits, and 32 bits are unsigned."""
+    h = table(spark, d, "events").select("user_id", scalars.hash64(F.col("user_id")).alias("h64"), scalars.hash32(F.col("user_id")).alias("h32"))
+    return h.agg(F.count_distinct("user_id").alias("inputs"), F.count_distinct("h64").alias("h64"), F.bool_and(F.col("h32").between(0, (1 << 32) - 1)).alias("h32_in_range"))
+
+
 @query(over("g_trade", "select src as u, string_agg(dst::varchar, ',' order by dst) as neighbours from (select distinct src, dst from e) group by 1"))
 def sort_adjacency(spark: Sp, d: str) -> Df:
     lists = g_trade(spark, d).groupBy(F.col("src").alias("u")).agg(F.array_sort(F.collect_set("dst")).alias("n"))
