@@ -6,7 +6,9 @@ A node's split is drawn over its own rows' range, widened at both ends by what
 the good rows span, so that a value that they never have is cut off early. The cut on the anomaly score
 is calibrated on other labelled rows, good and poor, than those that the
 forest was grown on, so that at most about `max_false_reject` of the good ones
-fall beyond it. Both parts together are at most `bound` labelled rows.
+fall beyond it. Every labelled row is read: ranges and counts are over all of
+them, to `GRID` steps of the score. A tree is grown over 256 rows, as isolation
+trees are, drawn for each tree from all the good ones it may be grown on.
 
 Defined cases: null and empty texts have zero counts and fail the base rule;
 long texts are read whole; repeated rows get equal results; an empty table
@@ -25,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from edgetide.llm.arrow import id_and_text, least_hashed, map_batches, pick, texts
-from edgetide.session import bound_arrow, ship
+from edgetide.llm.arrow import id_and_text, map_batches, pick, texts
+from edgetide.session import bound_arrow, checkpoint, ship
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -126,17 +129,19 @@ def expected_path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
-def grow(x: np.ndarray, space: np.ndarray | None = None, trees: int = 100, sample: int = 256, depth: int = 12, seed: int = 7, margin: float = 1.0) -> Forest:
+def grow(x: np.ndarray, space: np.ndarray | None = None, trees: int = 100, sample: int = 256, depth: int = 12, seed: int = 7, margin: float = 1.0, extent: np.ndarray | None = None, drawn: list[np.ndarray] | None = None) -> Forest:
     """A forest of `trees` trees, each over `sample` rows of x drawn without return, with random features and split values.
 
     Split values are drawn over the range of a node's own rows, widened at both
     ends by `margin` of the range of x (or of a thousandth, where x has one value
     only), so rows that lie outside have short paths. `space` names further rows
-    whose range is open to splits from the root on.
+    whose range is open to splits from the root on. Where x holds only rows that
+    were drawn beforehand, `drawn` has each tree's places in x, and `extent` the
+    range of all rows.
     """
     rng = np.random.default_rng(seed)
-    size = min(sample, len(x))
-    extent = x.max(axis=0) - x.min(axis=0)
+    size = min(sample, len(x)) if drawn is None else max(map(len, drawn))
+    extent = x.max(axis=0) - x.min(axis=0) if extent is None else extent
     wider = np.maximum(margin * extent, 1e-3)
     outer = None if space is None else (np.minimum(space.min(axis=0), x.min(axis=0)), np.maximum(space.max(axis=0), x.max(axis=0)))
     nodes: list[list[float]] = []
@@ -158,7 +163,8 @@ def grow(x: np.ndarray, space: np.ndarray | None = None, trees: int = 100, sampl
         nodes[k] = [f, cut, left, right, 0.0]
         return k
 
-    roots = [build(x[rng.choice(len(x), size, replace=False)], *(outer or (None, None)), 0) for _ in range(trees)]
+    places = (rng.choice(len(x), size, replace=False) for _ in range(trees)) if drawn is None else drawn
+    roots = [build(x[rows], *(outer or (None, None)), 0) for rows in places]
     a = np.array(nodes)
     return Forest(a[:, 0].astype(np.int64), a[:, 1], a[:, 2].astype(np.int64), a[:, 3].astype(np.int64), a[:, 4], np.array(roots), max(expected_path(size), 1e-9))
 
@@ -171,11 +177,10 @@ class Model:
     threshold: float
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, label_col: str) -> DataFrame:
-    """(doc_id, text, label) of at most `bound` labelled documents, those of least hashed id: bounded, repeatable and spread over the corpus."""
+def labelled(rows: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
+    """`rows` of labelled documents, with the label."""
     known = pick(labels, doc_id=("doc_id", "long"), label=(label_col, "int")).where("doc_id is not null and label is not null")
-    chosen = least_hashed(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", bound)
-    return id_and_text(docs).join(F.broadcast(chosen), "doc_id")
+    return rows.join(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id")
 
 
 def grown_on(doc_ids: np.ndarray) -> np.ndarray:
@@ -183,33 +188,77 @@ def grown_on(doc_ids: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(f"{i}/forest".encode()) % 2 == 0 for i in doc_ids], dtype=bool)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 8000, max_false_reject: float = 0.005, seed: int = 7) -> Model:
-    """Grow the forest on good rows among half of at most `bound` labelled ones, and calibrate its threshold on the other half."""
+#: Steps of the anomaly score, which lies in 0 to 1, by which rows are counted for the threshold.
+GRID = 100_000
+TREES, TREE_ROWS = 100, 256
+
+
+def drawn_rows(good: DataFrame, n: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows x of `good` (doc_id, x), n of them, and for each tree the places of TREE_ROWS of them (all, where there are fewer).
+
+    A tree takes the rows of least hash by its own number. A row comes in
+    question for a tree where that hash is among a few times TREE_ROWS least
+    ones, so few rows are ordered and at most TREES * TREE_ROWS reach the driver.
+    """
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, "doc_id").alias("h")))
+    if n > 16 * TREE_ROWS:
+        least = int(-(2**63) + 2**64 * (8 * TREE_ROWS / n))
+        hashes = F.filter(hashes, lambda d: d["h"] < F.lit(least))
+    spread = good.select("doc_id", "x", F.explode(hashes).alias("d")).select("doc_id", "x", "d.tree", "d.h")
+    w = W.partitionBy("tree").orderBy("h", "doc_id")
+    rows = spread.withColumn("place", F.row_number().over(w)).where(F.col("place") <= TREE_ROWS).groupBy("doc_id").agg(F.any_value("x").alias("x"), F.sort_array(F.collect_list("tree")).alias("trees")).orderBy("doc_id").collect()
+    places: list[list[int]] = [[] for _ in range(TREES)]
+    for i, r in enumerate(rows):
+        for t in r.trees:
+            places[t].append(i)
+    return np.array([r.x for r in rows]), [np.array(p) for p in places]
+
+
+def threshold(ok: np.ndarray, no: np.ndarray, max_false_reject: float) -> float:
+    """The cut, from the numbers of good and poor rows at each step of the grid: from the quantile of the good ones on, the best by poor ones cut less twenty times the share of good ones."""
+    beyond = lambda n: (n.sum() - np.cumsum(n)) / max(n.sum(), 1)  # noqa: E731, the share above each step
+    if not no.sum():
+        return float(np.flatnonzero(ok).max() + 1) / GRID
+    allowed = np.flatnonzero(beyond(ok) <= max_false_reject)
+    gain = beyond(no)[allowed] - 20 * beyond(ok)[allowed]
+    return float(allowed[int(np.argmax(gain))] + 1) / GRID
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_false_reject: float = 0.005, seed: int = 7) -> Model:
+    """Grow the forest on the good ones of half the labelled rows, and calibrate its threshold on the other half; every labelled row is read."""
     ship(docs.sparkSession)
     bound_arrow(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64())), ("n", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64())), ("n", pa.int64()), ("own", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [statistics(t) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([features(s) for s in found], schema.field("x").type), pa.array([s[0] for s in found], pa.int64())], schema=schema)
-
-    sample = labelled_sample(docs, labels, bound, "quality").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>, n long")
-    rows = sample.groupBy("doc_id").agg(F.min(F.struct("label", "x", "n")).alias("r")).orderBy("doc_id").select("doc_id", "r.*").collect()  # at most `bound`
-    rows = [r for r in rows if r.n >= 20 and r.x[FEATURES.index("repeat_rate")] <= 0.3]  # the base rule decides the others
-    y = np.array([r.label for r in rows])
-    x = forest_view(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)))
-    own = grown_on(np.array([r.doc_id for r in rows]))
-    if (own & (y == 1)).sum() < 8 or (~own & (y == 1)).sum() < 8:
+            ids = batch.column(0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([features(s) for s in found], schema.field("x").type), pa.array([s[0] for s in found], pa.int64()), pa.array(grown_on(ids.to_numpy()), pa.bool_())], schema=schema)
+
+    # Statistics come before the join, so that no text is shuffled.
+    counted = id_and_text(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, x array<double>, n long, own boolean")
+    rows = labelled(counted, labels, "quality").groupBy("doc_id", "own").agg(F.min(F.struct("label", "x", "n")).alias("r")).select("doc_id", "own", "r.*")
+    rate = F.element_at("x", FEATURES.index("repeat_rate") + 1)
+    view = F.array(*(F.sqrt(F.greatest(F.element_at("x", FEATURES.index(f) + 1), F.lit(0.0))) for f in FOREST))
+    rows = checkpoint(rows.where((F.col("n") >= 20) & (rate <= 0.3)).select("doc_id", "own", "label", view.alias("x")))  # the base rule decides the others
+    good = rows.where("own and label = 1")
+    ends = good.agg(F.count("*").alias("n"), *(f(F.element_at("x", i + 1)).alias(f"{name}{i}") for i in range(len(FOREST)) for name, f in (("low", F.min), ("high", F.max)))).first()
+    if ends.n < 8 or rows.where("not own and label = 1").limit(8).count() < 8:
         return Model(None, 1.0)
-    forest = grow(x[own & (y == 1)], seed=seed)
-    ok, no = forest.score(x[~own & (y == 1)]), forest.score(x[~own & (y == 0)])
-    low = float(np.quantile(ok, 1 - max_false_reject))
-    if not len(no):
-        return Model(forest, max(low, float(ok.max())) + 1e-9)
-    cuts = np.unique(np.concatenate([[low], ok[ok >= low], no[no >= low]]))
-    gain = [(no > c).mean() - 20 * (ok > c).mean() for c in cuts]
-    return Model(forest, float(cuts[int(np.argmax(gain))]))
+    x, drawn = drawn_rows(good, ends.n, seed)
+    extent = np.array([ends[f"high{i}"] - ends[f"low{i}"] for i in range(len(FOREST))])
+    forest = grow(x, seed=seed, extent=extent, drawn=drawn)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = forest.score(np.array(batch.column(1).to_pylist()).reshape(-1, len(FOREST)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(at * GRID, GRID - 1).astype(np.int64))], names=["label", "step"])
+
+    counts = {0: np.zeros(GRID, dtype=np.int64), 1: np.zeros(GRID, dtype=np.int64)}
+    for r in rows.where("not own and label in (0, 1)").select("label", "x").mapInArrow(score, "label int, step long").groupBy("label", "step").count().collect():  # two rows a step at most
+        counts[r.label][r.step] = r["count"]
+    return Model(forest, threshold(counts[1], counts[0], max_false_reject))
 
 
 def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
