@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,36 +49,51 @@ def session_windows(log: DataFrame, window: int, delay: str = "0 seconds") -> Da
     return spans.select("src", "dst", F.unix_seconds("s.start").alias("start"), F.unix_seconds("s.end").alias("end"), "events")
 
 
-def ttl_updates(log: DataFrame, window: int, delay: str = "0 seconds") -> DataFrame:
-    """(src, dst, op, ts): insertions and deletions of pairs that live for `window` after each event, by event-time timeouts."""
+#: Groups of state that the pairs of `ttl_updates` are dealt to.
+BUCKETS = 4096
+
+
+def ttl_updates(log: DataFrame, window: int, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
+    """(src, dst, op, ts): insertions and deletions of pairs that live for `window` after each event, by event-time timeouts.
+
+    A group of state holds many pairs, 32 bytes each, so that one call settles
+    them by whole columns; its timeout is that of its first pair to end. `buckets`
+    must stay the same over restarts. Rows without a time are left out.
+    """
     ship(log.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        src, dst = key
-        out = []
-        if state.hasTimedOut:
-            out.append((src, dst, 1, state.get[0] + window))
+        held = np.frombuffer(state.get[0], dtype=np.int64).reshape(-1, 4) if state.exists else np.empty((0, 4), dtype=np.int64)
+        rows = np.concatenate([held, *([] if state.hasTimedOut else [b[["nulls", "src", "dst", "ts"]].to_numpy(dtype=np.int64) for b in batches])])
+        old = np.arange(len(rows)) < len(held)
+        order = np.lexsort((rows[:, 3], ~old, rows[:, 2], rows[:, 1], rows[:, 0]))  # of each pair what is held, then its events
+        rows, old = rows[order], old[order]
+        pairs, first = rows[:, :3], np.ones(len(rows), dtype=bool)
+        first[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+        start = np.flatnonzero(first)[np.cumsum(first) - 1]
+        upto = np.where(old[start], np.maximum(rows[:, 3], rows[start, 3]), rows[:, 3])  # an event may be older than what is held
+        ends = np.concatenate([upto[:1], upto[:-1]]) + window
+        ended = ~first & (ends < rows[:, 3])
+        begun = ended | (first & ~old)
+        final = np.concatenate([first[1:], np.ones(min(1, len(rows)), dtype=bool)])
+        mark = state.getCurrentWatermarkMs()
+        due = final & ((upto + window) * 1000 < mark)
+        kept = final & ~due
+        if kept.any():
+            state.update((np.column_stack([pairs, upto])[kept].tobytes(),))
+            state.setTimeoutTimestamp(max((int(upto[kept].min()) + window) * 1000, mark + 1))
+        elif state.exists:
             state.remove()
-        else:
-            last = state.get[0] if state.exists else None
-            for t in sorted(t for b in batches for t in b["ts"]):
-                if last is None or last + window < t:
-                    if last is not None:
-                        out.append((src, dst, 1, last + window))
-                    out.append((src, dst, 0, t))
-                last = t if last is None else max(last, t)
-            mark = state.getCurrentWatermarkMs()
-            if (last + window) * 1000 < mark:
-                out.append((src, dst, 1, last + window))
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((last,))
-                state.setTimeoutTimestamp(max((last + window) * 1000, mark + 1))
-        yield pd.DataFrame(out, columns=["src", "dst", "op", "ts"])
-
-    timed = log.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", delay)
-    return timed.groupBy("src", "dst").applyInPandasWithState(step, "src long, dst long, op int, ts long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+        made = np.concatenate([pairs[ended], pairs[begun], pairs[due]])
+        end = lambda c, bit: pd.arrays.IntegerArray(made[:, c].copy(), made[:, 0] & bit != 0)
+        op = np.repeat(np.array([1, 0, 1], dtype=np.int32), [ended.sum(), begun.sum(), due.sum()])
+        if len(made):
+            yield pd.DataFrame({"src": end(1, 1), "dst": end(2, 2), "op": op, "ts": np.concatenate([ends[ended], rows[begun, 3], upto[due] + window])})
+
+    timed = log.where("ts is not null").withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", delay)
+    keyed = timed.withColumn("nulls", F.expr("if(src is null, 1L, 0L) + if(dst is null, 2L, 0L)")).withColumn("bucket", F.pmod(F.xxhash64("src", "dst"), F.lit(buckets)))
+    keyed = keyed.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("src", "dst")}).withColumn("ts", F.col("ts").cast("long"))
+    return keyed.groupBy("bucket").applyInPandasWithState(step, "src long, dst long, op int, ts long", "pairs binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def batch_stats(log: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +296,28 @@ def test_late_rows(spark, tmp_path):
     got = inc.run_to_end(inc.session_windows(stream, 50, "100 seconds"), "append", "src long, dst long, start long, end long, events long")
     # 105 comes when spans before 9,900 are closed; 9,950 is late by less than the delay.
     assert sorted(map(tuple, got.collect())) == [(1, 2, 100, 150, 1), (1, 2, 10_000, 10_050, 1), (3, 4, 100, 150, 1), (3, 4, 9_950, 10_000, 1), (7, 8, 10_000, 10_050, 1)]
+
+
+def test_ttl_updates_over_batches(spark, tmp_path):
+    """As a replay by pair, null ends included; the state is a row a bucket, not a row a pair."""
+    schema, window, rng = "src long, dst long, ts long", 20, random.Random(4)
+    rows = [(rng.choice([None, *range(90)]), rng.choice([None, 5, 6]), rng.randint(100, 400)) for _ in range(2500)]
+    rows = sorted(rows, key=lambda r: r[2]) + [(i, -i, 400) for i in range(10, 5_010)] + [(0, 0, 411)]
+    for i in range(0, len(rows), 1000):
+        spark.createDataFrame(rows[i : i + 1000], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = []
+    query = inc.ttl_updates(stream, window, "10 seconds").writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(lambda b, _: got.extend(map(tuple, b.collect()))).start()
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    want, last = [], {}
+    for src, dst, t in rows:
+        before = last.get((src, dst))
+        if before is not None and before + window < t:
+            want.append((src, dst, 1, before + window))
+        if before is None or before + window < t:
+            want.append((src, dst, 0, t))
+        last[src, dst] = t
+    want += [(*pair, 1, t + window) for pair, t in last.items() if t + window < 411 - 10]
+    assert Counter(got) - Counter(want) == Counter(want) - Counter(got) == Counter()
+    assert 0 < max(states) <= 4096
